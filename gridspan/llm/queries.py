@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, language_id, simhash
+from . import bpe, ctw, decontaminate, language_id, pii, quality_pu, quality_rules, secrets, simhash, warc
 from .common import crc_mod
 
 
@@ -27,18 +27,75 @@ def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score_held_out(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text and what they decode to."""
+    import public_tokenizers
+
+    out = bpe.encode_decode(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text."""
+    out = pii.find(documents(spark, sf_dir))
+    base = F.filter("spans", lambda x: x["base"])
+    of_kind = lambda i: F.filter("spans", lambda x: x["base"] & (x["kind"] == i))
+    counts = [F.size(of_kind(i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return out.select("doc_id", *counts, F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every text."""
+    out = quality_rules.keep_good(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text."""
+    out = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
+    of_kind = lambda k: F.filter("spans", lambda x: x["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS[:3]]
+    return out.select("doc_id", *counts, F.sha2(listed(F.filter("spans", lambda x: x["kind"] != "linked")).cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every text."""
     out = simhash.near_duplicates(documents(spark, sf_dir))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text."""
+    return quality_pu.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every text."""
+    found = decontaminate.hits(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    n_hit = F.aggregate("ranges", F.lit(0), lambda n, r: n + r["b"] - r["a"]).cast("long")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, archived and read back."""
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("url")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
     return {
         "op1_language": op1_language,
         "op2_ctw": op2_ctw,
+        "op3_bpe": op3_bpe,
+        "op4_pii": op4_pii,
+        "op5_quality_rules": op5_quality_rules,
+        "op6_secrets": op6_secrets,
         "op7_simhash": op7_simhash,
+        "op8_quality_pu": op8_quality_pu,
+        "op9_decontaminate": op9_decontaminate,
+        "op10_warc": op10_warc,
     }
 
 
