@@ -99,3 +99,78 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     points = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("label")), "points")
     groups = components(points, links(points.select("fp")), "fp")
     return prints.join(groups, "fp").select("doc_id", "fp", "component_id")
+
+
+def segments(text: str | None, width: int, slices: int, least: int) -> list[int]:
+    """One segment for each slice of a text's shingles: a digest of the `least` smallest hashes of the slice.
+
+    Shingles fall into slices by their hash, so two texts that share most shingles agree on whole slices; a segment is
+    then equal, not just close. Empty slices give a segment that is the text's own fingerprint.
+    """
+    words = text.encode("utf-8", "replace").lower().split() if text else []
+    if len(words) <= width:
+        return [fingerprint(text, width)] * slices
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.r_[0, ends[: len(words) - width]].tolist()
+    joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
+    hashes = np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], np.uint64))
+    slice_of = hashes % np.uint64(slices)
+    out = []
+    for i in range(slices):
+        own = hashes[slice_of == i][:least]
+        out.append(digest(own.tobytes(), SEED) if len(own) else fingerprint(text, width))
+    return np.array(out, np.uint64).astype(np.int64).tolist()
+
+
+def shingles(text: str | None, width: int) -> set[bytes]:
+    """The set of word shingles of a text."""
+    words = text.encode("utf-8", "replace").lower().split() if text else []
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, slices: int = 16, least: int = 4) -> DataFrame:
+    """One document of each group of near copies: those whose shingle sets have a Jaccard similarity of at least `similarity`.
+
+    At such a similarity 64-bit SimHashes differ in about ten bits, beyond any small ball; so the fingerprint is made long,
+    one segment for each slice of the shingles, and the tables are probed with whole segments. Each text meets the first
+    text of each of its table entries, never all pairs, and every meeting is verified on the whole shingle sets. Of a
+    group the smallest doc_id stays; texts without a word are one group. All columns of docs are returned.
+    """
+    text_id = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    doc_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([segments(t.as_py(), width, slices, least) for t in batch.column(2)], pa.list_(pa.int64()))], ["doc_id", "h", "segs"])
+
+    sketches = docs.select("doc_id", text_id.alias("h"), "text").mapInArrow(run, f"doc_id {doc_type}, h string, segs array<long>")
+    points = keep(sketches.groupBy("h").agg(F.min("doc_id").alias("label"), F.first("segs").alias("segs")), "points")
+    entries = points.select("h", F.posexplode("segs").alias("slot", "seg"))
+    heads = entries.groupBy("slot", "seg").agg(F.min("h").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    pairs = keep(entries.join(heads, ["slot", "seg"]).filter(F.col("h") != F.col("head")).select("h", "head").distinct(), "pairs")
+    involved = pairs.select("h").union(pairs.select("head")).distinct()
+    texts = keep(docs.select(text_id.alias("h"), "text").join(involved, "h", "left_semi").groupBy("h").agg(F.max("text").alias("text")), "texts")
+
+    def alike(batches: Iterator[pa.RecordBatch]):
+        last, shape = None, set()
+        for batch in batches:
+            kept = []
+            for i, (head, a, b) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True)):
+                if head != last:
+                    last, shape = head, shingles(b.as_py(), width)
+                own = shingles(a.as_py(), width)
+                both = len(own & shape)
+                if both >= similarity * (len(own) + len(shape) - both):
+                    kept.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), batch.column(1).take(pa.array(kept, pa.int64()))], ["a", "b"])
+
+    met = pairs.join(texts.withColumnRenamed("text", "own"), "h").join(texts.withColumnsRenamed({"h": "head", "text": "of_head"}), "head").select("h", "head", "own", "of_head")
+    edges = met.mapInArrow(alike, "a string, b string")
+    groups = components(points.select("h", "label"), edges, "h")
+    # of each component the text that holds its smallest id stays; ties between texts of one id go to the smallest text id
+    first = points.select("h", "label").join(groups, "h").filter(F.col("label").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("h").alias("h"))
+    names = docs.columns
+    own = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)), text_id.alias("h"), F.col("doc_id").alias("id"))
+    kept = own.join(first, (own["h"] == first["h"]) & own["id"].eqNullSafe(first["component_id"]), "left_semi").dropDuplicates(["h", "id"])
+    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
