@@ -1,44 +1,6 @@
-"""Registered queries: name -> DataFrame builder, and the SQL each must equal."""
+"""All registered queries of the engine."""
 
-from __future__ import annotations
+from . import formula_queries, table_queries
+from .registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def register(name: str, sql: str | None = None):
-    """Add a query builder, with its oracle where SQL can express it."""
-
-    def put(build):
-        QUERIES[name] = build
-        if sql:
-            ORACLES[name] = sql
-        return build
-
-    return put
-
-
-@register(
-    "sumifs_by_key",
-    """SELECT l_returnflag, l_linestatus, SUM(CASE WHEN l_discount > 0.05 THEN l_quantity ELSE 0 END) AS sum_qty,
-       CAST(COUNT(CASE WHEN l_discount > 0.05 THEN 1 END) AS BIGINT) AS n_match
-       FROM lineitem GROUP BY l_returnflag, l_linestatus""",
-)
-def sumifs_by_key(spark, sf_dir):
-    """A column of SUMIFS / COUNTIFS formulas, one per key, as a single grouped aggregate."""
-    match = F.col("l_discount") > 0.05
-    return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy("l_returnflag", "l_linestatus")
-        .agg(F.sum(F.when(match, F.col("l_quantity")).otherwise(0.0)).alias("sum_qty"), F.count(F.when(match, 1)).alias("n_match"))
-    )
+__all__ = ["ORACLES", "QUERIES", "formula_queries", "table_queries"]
