@@ -111,7 +111,7 @@ def fit(table: DataFrame, prior: float, rounds: int = 12, shrink: float = 1e-4)
         grad = now["grad"] / now["n"] - prior * now["x_p"] / now["p"] + ridge * weights
         step = np.linalg.solve(now["hess"] / now["n"] + np.diag(ridge + 1e-9), grad)
         before, size = risk(now, weights)[0], 1.0
-        for _ in range(5):
+        for _ in range(12):
             after = weights - size * step
             then = _sums(table, after)
             value, negative = risk(then, after)

@@ -25,14 +25,14 @@ SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 #: Features that conditions may test, from the statistics.
 FEATURES = {
-    "symbol_rate": F.col("n_symbols") / F.greatest(F.col("n_words"), F.lit(1)),
-    "repeat_rate": F.col("n_repeat_words") / F.greatest(F.col("n_words"), F.lit(1)),
-    "dup_line_rate": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-    "upper_rate": F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1)),
-    "mark_rate": F.col("n_marks") / F.greatest(F.col("n_words"), F.lit(1)),
-    "word_length": F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)),
-    "distinct_rate": F.col("n_distinct") / F.greatest(F.col("n_words"), F.lit(1)),
-    "n_words": F.col("n_words").cast("double"),
+    "symbol_rate": "n_symbols / greatest(n_words, 1)",
+    "repeat_rate": "n_repeat_words / greatest(n_words, 1)",
+    "dup_line_rate": "n_dup_lines / greatest(n_lines, 1)",
+    "upper_rate": "n_upper / greatest(word_chars, 1)",
+    "mark_rate": "n_marks / greatest(n_words, 1)",
+    "word_length": "word_chars / greatest(n_words, 1)",
+    "distinct_rate": "n_distinct / greatest(n_words, 1)",
+    "n_words": "double(n_words)",
 }
 #: Quantiles at which a feature is cut into bins.
 CUTS = [0.01, 0.02, 0.05, 0.08, 0.1, 0.12, 0.15, 0.2, 0.3, 0.5, 0.7, 0.8, 0.85, 0.88, 0.9, 0.92, 0.95, 0.98, 0.99]
@@ -123,7 +123,7 @@ def _any(rules: list[Rule], features: dict[str, Column]) -> Column:
 
 def learn(labelled: DataFrame, label: str = "quality", max_rules: int = 6, max_conditions: int = 3, least_precision: float = 0.8, least_cover: int = 3) -> list[Rule]:
     """Rules for rejecting, in order. labelled: the statistics and a 0/1 label."""
-    table = keep(labelled.filter(F.col(label).isNotNull()).select((F.col(label) == 0).alias("bad"), *(c.alias(f) for f, c in FEATURES.items()), (F.pmod(F.xxhash64(*FEATURES.values()), F.lit(3)) == 0).alias("prune")), "labelled")
+    table = keep(labelled.filter(F.col(label).isNotNull()).select((F.col(label) == 0).alias("bad"), *(F.expr(c).alias(f) for f, c in FEATURES.items()), (F.pmod(F.xxhash64(*map(F.expr, FEATURES.values())), F.lit(3)) == 0).alias("prune")), "labelled")
     here = {f: F.col(f) for f in FEATURES}
     names = list(FEATURES)
     cuts_row = table.agg(*(F.percentile_approx(f, F.array(*map(F.lit, CUTS)), 10_000).alias(f) for f in names)).first()
@@ -177,9 +177,9 @@ def learn(labelled: DataFrame, label: str = "quality", max_rules: int = 6, max_c
 
 def judge(stats: DataFrame, rules: list[Rule]) -> DataFrame:
     """stats with base_failed, kept and rule: the number of the rule that rejected, or null."""
-    case = F.lit(None).cast("int")
+    case, features = F.lit(None).cast("int"), {f: F.expr(c) for f, c in FEATURES.items()}
     for i, rule in reversed(list(enumerate(rules, 1))):
-        case = F.when(_both(rule, FEATURES), i).otherwise(case)
+        case = F.when(_both(rule, features), i).otherwise(case)
     out = stats.withColumns({"base_failed": base_failed(), "rule": case})
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 

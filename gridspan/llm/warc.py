@@ -91,6 +91,8 @@ def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
         if not colon:
             return "broken header line"
         header[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+    if not header.get("warc-record-id") or not header.get("warc-type"):
+        return "no record id or type"
     length = header.get("content-length", "")
     if not (length.isascii() and length.isdigit() and len(length) < 16):
         return "no content length"
