@@ -29,7 +29,7 @@ def no_error() -> Column:
 
 
 class Val:
-    """A value Column with its error Column. `kind` is "number" where the value is known to be a double."""
+    """A value Column with its error Column. `kind` is "number", "text" or "bool" where the value's type is known."""
 
     def __init__(self, value: Column, err: Column | None = None, kind: str | None = None):
         self.value, self.kind = value, kind
@@ -59,7 +59,8 @@ def lift(x: Any) -> Val:
         return x
     if isinstance(x, (int, float)) and not isinstance(x, bool):
         return Val(F.lit(float(x)), kind="number")
-    return Val(x if isinstance(x, Column) else F.lit(x))
+    kind = {str: "text", bool: "bool"}.get(type(x))
+    return Val(x if isinstance(x, Column) else F.lit(x), kind=kind)
 
 
 def first_error(*vals: Val) -> Column:
@@ -85,7 +86,15 @@ def text_of(value: Column) -> Column:
 def text(x: Any) -> Val:
     """Operand of text functions."""
     v = lift(x)
-    return Val(text_of(v.value), v.err)
+    return v if v.kind == "text" else Val(text_of(v.value), v.err, "text")
+
+
+def alike(*vals: Val) -> list[Val]:
+    """The values in one type, so that they can stand in one column: text where kinds are mixed."""
+    kinds = {v.kind for v in vals}
+    if len(kinds) == 1 or kinds == {None, "number"} or kinds == {None, "bool"}:
+        return list(vals)
+    return [v if v.kind == "text" else Val(v.value.cast("string") if v.kind is None else text_of(v.value), v.err, "text") for v in vals]
 
 
 def truth(x: Any) -> Val:
@@ -197,7 +206,7 @@ def percent(a: Any) -> Val:
 def concat(a: Any, b: Any) -> Val:
     """a & b."""
     a, b = text(a), text(b)
-    return Val(F.concat(a.value, b.value), first_error(a, b))
+    return Val(F.concat(a.value, b.value), first_error(a, b), "text")
 
 
 def _rank(value: Column) -> Column:

@@ -163,7 +163,6 @@ _COS = lambda a, b: (F.cos(a) * F.cosh(b), -F.sin(a) * F.sinh(b))
 _SINH = lambda a, b: (F.sinh(a) * F.cos(b), F.cosh(a) * F.sin(b))
 _COSH = lambda a, b: (F.cosh(a) * F.cos(b), F.sinh(a) * F.sin(b))
 _LN = lambda a, b: (F.ln(F.hypot(a, b)), F.atan2(b, a))
-_ONE = (F.lit, 1.0)
 
 
 def _log_base(base: float):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import NA, VALUE, Val, compare, error, first_error, fx, lift, no_error, number, truth
+from .core import NA, VALUE, Val, alike, compare, error, first_error, fx, lift, no_error, number, truth
 
 
 @fx("TRUE", least=0)
@@ -59,21 +59,21 @@ def parity(*xs):
 @fx("IF", least=2, most=3)
 def choice(test, yes, no=False):
     """One of two values; the other one's error does not show."""
-    t, y, n = truth(test), lift(yes), lift(no)
+    t, (y, n) = truth(test), alike(lift(yes), lift(no))
     return Val(F.when(t.value, y.value).otherwise(n.value), F.when(t.err.isNotNull(), t.err).when(t.value, y.err).otherwise(n.err))
 
 
 @fx("IFERROR", least=2)
 def iferror(x, other):
     """The second value where the first is an error."""
-    v, o = lift(x), lift(other)
-    return Val(F.when(v.err.isNotNull(), o.value).otherwise(v.value), F.when(v.err.isNotNull(), o.err))
+    v, o = alike(lift(x), lift(other))
+    return Val(F.when(v.err.isNotNull(), o.value).otherwise(v.value), F.when(v.err.isNotNull(), o.err), v.kind)
 
 
 @fx("IFNA", least=2)
 def ifna(x, other):
     """The second value where the first is #N/A."""
-    v, o = lift(x), lift(other)
+    v, o = alike(lift(x), lift(other))
     missing = v.err.eqNullSafe(F.lit(NA))
     return Val(F.when(missing, o.value).otherwise(v.value), F.when(missing, o.err).otherwise(v.err))
 
@@ -84,8 +84,8 @@ def ifs(*pairs):
     if len(pairs) % 2:
         return error("#UNKNOWN!")
     value, err = F.lit(None), F.lit(NA)
-    for test, x in reversed(list(zip(pairs[::2], pairs[1::2], strict=True))):
-        t, v = truth(test), lift(x)
+    for test, v in reversed(list(zip(pairs[::2], alike(*map(lift, pairs[1::2])), strict=True))):
+        t = truth(test)
         value = F.when(t.err.isNull() & t.value, v.value).otherwise(value)
         err = F.when(t.err.isNotNull(), t.err).when(t.value, v.err).otherwise(err)
     return Val(value, err)
@@ -95,10 +95,11 @@ def ifs(*pairs):
 def switch(x, *rest):
     """The value beside the first equal case, then the default, else #N/A."""
     v = lift(x)
-    pairs, default = list(zip(rest[::2], rest[1::2], strict=False)), lift(rest[-1]) if len(rest) % 2 else error(NA)
+    cases, values = rest[: len(rest) // 2 * 2 : 2], alike(*map(lift, (*rest[1::2], *(rest[-1:] if len(rest) % 2 else ()))))
+    pairs, default = list(zip(cases, values, strict=False)), values[-1] if len(rest) % 2 else Val(F.lit(None), F.lit(NA))
     value, err = default.value, default.err
     for case, then in reversed(pairs):
-        same, t = compare(v, "=", case), lift(then)
+        same, t = compare(v, "=", case), then
         value = F.when(same.value, t.value).otherwise(value)
         err = F.when(same.value, t.err).otherwise(err)
     return Val(value, F.coalesce(v.err, err))
@@ -107,7 +108,7 @@ def switch(x, *rest):
 @fx("CHOOSE", least=2, most=None)
 def pick(k, *xs):
     """The k-th of the following values."""
-    n, vals = number(k), [lift(x) for x in xs]
+    n, vals = number(k), alike(*map(lift, xs))
     at = F.floor(n.value)
     value, err = F.lit(None), F.lit(VALUE)
     for i, v in reversed(list(enumerate(vals, 1))):
