@@ -426,3 +426,65 @@ def revenue_by_region(spark, sf_dir):
     who = c.join(places, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "r_name")
     sales = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
     return sales.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(who, F.col("o_custkey") == F.col("c_custkey")).groupBy("r_name", F.year("o_orderdate").alias("year")).agg(F.round(F.sum("v"), 2).alias("revenue"))
+
+
+@register("host_function_memo", """SELECT p_partkey, LENGTH(p_type)::BIGINT * 2 AS twice FROM part""")
+def host_function_memo(spark, sf_dir):
+    """A host function over distinct arguments, joined back."""
+    from gridspan.operators import extensions
+
+    return extensions.memoised(table(spark, sf_dir, "part").select("p_partkey", "p_type"), ["p_type"], lambda x: x["p_type"].str.len() * 2, "twice", "long").select("p_partkey", "twice")
+
+
+@register("field_templates", """SELECT o_orderkey, o_totalprice * 0.2 AS tax, o_totalprice * 1.2 AS gross, o_totalprice * 1.2 > 300000 AS large FROM orders""")
+def field_templates(spark, sf_dir):
+    """Fields derived from each other, in the order of their use."""
+    from gridspan.operators import extensions
+
+    fields = {"large": F.col("gross") > 300000, "gross": F.col("o_totalprice") * 1.2, "tax": F.col("o_totalprice") * 0.2}
+    return extensions.templates(table(spark, sf_dir, "orders"), fields, {"large": ["gross"]}).select("o_orderkey", "tax", "gross", "large")
+
+
+@register("data_boundaries", """SELECT n_nationkey AS r, LEAD(n_nationkey) OVER (ORDER BY n_nationkey) AS next, COALESCE(LEAD(n_nationkey) OVER (ORDER BY n_nationkey) <> n_nationkey + 1, TRUE) AS edge FROM nation WHERE n_nationkey NOT IN (5, 6, 11)""")
+def data_boundaries(spark, sf_dir):
+    """The next occupied cell of a column, and where runs end."""
+    from gridspan.operators import extensions
+
+    return extensions.next_occupied(cells(spark, sf_dir).filter("c = 1 AND r NOT IN (5, 6, 11)")).select("r", "next", "edge")
+
+
+@register("percent_ranks", """WITH o AS (SELECT o_totalprice AS x FROM orders) SELECT FLOOR((SELECT COUNT(*) FROM o WHERE x < (SELECT MAX(x) FROM o)) / ((SELECT COUNT(*) FROM o) - 1)::DOUBLE * 1000 + 1e-9) / 1000 AS value, NULL::VARCHAR AS err""")
+def percent_ranks(spark, sf_dir):
+    """PERCENTRANK of one value by counts."""
+    o = table(spark, sf_dir, "orders")
+    return ranking.percent_rank(o, "o_totalprice", o.agg(F.max("o_totalprice")).first()[0])
+
+
+@register("markdown_cells", """SELECT conv_id AS key, 0 AS "table", r, c, CASE WHEN r = 0 THEN ['role', 'turn'][c + 1] WHEN c = 0 THEN role ELSE CAST(turn AS VARCHAR) END AS value FROM (SELECT conv_id, turn, role FROM conversations WHERE turn = 0), (VALUES (0), (1)) a(r), (VALUES (0), (1)) b(c)""")
+def markdown_cells(spark, sf_dir):
+    """Cells of Markdown tables in texts."""
+    text = F.concat(F.lit("Some text\n| role | turn |\n|------|:----:|\n| "), F.col("role"), F.lit(" | "), F.col("turn").cast("string"), F.lit(" |\nmore"))
+    docs = table(spark, sf_dir, "conversations").filter("turn = 0").select(F.col("conv_id").alias("k"), text.alias("t"))
+    return files.markdown_tables(docs, "k", "t").select("key", F.col("table").cast("int").alias("table"), F.col("r").cast("int").alias("r"), "c", "value")
+
+
+@register("branch_merge", """SELECT n_nationkey AS r, CASE WHEN n_nationkey = 3 THEN 'ours' WHEN n_nationkey = 5 THEN 'theirs' ELSE n_name END AS value, n_nationkey = 3 AS conflict FROM nation""")
+def branch_merge(spark, sf_dir):
+    """Two branches from one base, with a conflict."""
+    base = cells(spark, sf_dir).filter("c = 1")
+    edit = lambda **k: base.withColumn("value", F.coalesce(*(F.when(F.col("r") == int(r[1:]), v) for r, v in k.items()), "value"))
+    return versions.merge(base, edit(r3="ours"), edit(r3="other", r5="theirs")).select("r", "value", "conflict")
+
+
+@register("latest_descriptors", """SELECT user_id AS id, MAX(event_id) AS version, ARG_MAX(event_type, event_id) AS body FROM events GROUP BY 1""")
+def latest_descriptors(spark, sf_dir):
+    """The newest version of each descriptor."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("version"), F.col("event_type").alias("body"))
+    return edits.latest_descriptors(rows)
+
+
+@register("event_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, MIN(ts) AS start, COUNT(*)::BIGINT AS n FROM s GROUP BY user_id, k""")
+def event_sessions(spark, sf_dir):
+    """Session windows; the same plan runs on a stream."""
+    out = edits.sessions(table(spark, sf_dir, "events"), "ts", ["user_id"], "2 hours", "10 minutes", {"n": F.count("*")})
+    return out.select("user_id", F.col("session.start").alias("start"), "n")
