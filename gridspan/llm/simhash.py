@@ -110,6 +110,7 @@ def segments(text: str | None, width: int, slices: int, least: int) -> list[int]
     words = text.encode("utf-8", "replace").lower().split() if text else []
     if len(words) <= width:
         return [fingerprint(text, width)] * slices
+    whole = fingerprint(text, width) % (1 << 64)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.r_[0, ends[: len(words) - width]].tolist()
     joined = b" ".join(words)
@@ -119,7 +120,7 @@ def segments(text: str | None, width: int, slices: int, least: int) -> list[int]
     out = []
     for i in range(slices):
         own = hashes[slice_of == i][:least]
-        out.append(digest(own.tobytes(), SEED) if len(own) else fingerprint(text, width))
+        out.append(digest(own.tobytes(), SEED) if len(own) else whole)
     return np.array(out, np.uint64).astype(np.int64).tolist()
 
 
