@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of a piece below which merges are applied directly, and distinct pieces that a task remembers.
-LEAF, REMEMBERED = 24, 400_000
+LEAF, REMEMBERED = 24, 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

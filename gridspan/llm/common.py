@@ -17,6 +17,13 @@ def crc_mod(key: str, by: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % by
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """Let tasks exchange so many rows at a time with Python: texts are kilobytes each, and 10,000 of them fill a worker."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only where the session names none is a local one set."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -41,12 +48,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def floor_for(counts: DataFrame, column: str, most: int) -> int:
-    """The smallest count such that at most `most` rows reach it: a bound on a model's size that drops ties as a whole.
+def floor_for(counts: DataFrame, column: str, most: int, weight: str | None = None) -> int:
+    """The smallest count such that at most `most` rows (or their summed weight) reach it: a bound on a model's size that drops ties as a whole.
 
     One aggregation over the counts; nothing but a histogram of at most HISTOGRAM rows reaches the driver.
     """
-    rows = counts.groupBy(F.least(F.col(column), F.lit(HISTOGRAM)).alias("c")).count().collect()
+    rows = counts.groupBy(F.least(F.col(column), F.lit(HISTOGRAM)).alias("c")).agg((F.sum(weight) if weight else F.count("*")).alias("count")).collect()
     total, floor = 0, HISTOGRAM + 1
     for c, n in sorted(((r["c"], r["count"]) for r in rows), reverse=True):
         total += n

@@ -11,6 +11,7 @@ nothing. With no training row at all every text is `und`. Ties between languages
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,8 +26,7 @@ from .common import crc_mod, floor_for, keep
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST_GRAM = 5
 #: Entries that a counting or scoring task holds before it sends them on or forgets them.
-FLUSH = 400_000
-LONGEST_WORD = 40
+FLUSH = 150_000
 
 
 def words_of(text: str) -> list[str]:
@@ -59,19 +59,24 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
+    held: dict[str, dict[str, int]] = {}
 
     def flush():
-        items = list(held.items())
+        for lang, counts in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts)), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "gram", "n"])
         held.clear()
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in items], pa.string()), pa.array([k[1] for k, _ in items], pa.string()), pa.array([n for _, n in items], pa.int64())], ["lang", "gram", "n"])
 
     for batch in batches:
         for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            counts = held.setdefault(lang, {})
+            seen = counts.get
+            edged = f"^{word}$"
+            size = len(edged)
             for length in range(1, LONGEST_GRAM + 1):
-                for gram in grams_of(word, length):
-                    held[lang, gram] += n
-        if len(held) > FLUSH:
+                for i in range(size - length + 1):
+                    gram = edged[i : i + length]
+                    counts[gram] = seen(gram, 0) + n
+        if sum(map(len, held.values())) > FLUSH:
             yield from flush()
     yield from flush()
 
@@ -79,18 +84,17 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Backoff:
     """The bounded model: log frequency vectors of known words and of n-grams."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
+    def __init__(self, langs: list[str], words: dict[str, tuple[float, ...]], grams: dict[str, tuple[float, ...]]):
         self.langs, self.words, self.grams = langs, words, grams
 
-    def vector(self, word: str) -> np.ndarray:
+    def vector(self, word: str) -> tuple[float, ...] | list[float]:
         """Log scores of one word in every language."""
         if (found := self.words.get(word)) is not None:
             return found
-        short = word[:LONGEST_WORD]
         for n in range(LONGEST_GRAM, 0, -1):
-            if known := [v for g in grams_of(short, n) if (v := self.grams.get(g)) is not None]:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.langs), np.float32)
+            if known := [v for v in map(self.grams.get, grams_of(word, n)) if v is not None]:
+                return [sum(c) / len(known) for c in zip(*known, strict=True)]
+        return [0.0] * len(self.langs)
 
 
 class Scorer(dict):
@@ -122,11 +126,11 @@ class Scorer(dict):
         return self.model.langs[best], float(min(1.0, total[best] / total.sum()))
 
 
-def _vectors(rows: DataFrame, key: str, most: int, langs: list[str], totals: dict[str, int], distinct: int) -> dict[str, np.ndarray]:
+def _vectors(rows: DataFrame, key: str, most: int, langs: list[str], totals: dict[str, int], distinct: int) -> dict[str, tuple[float, ...]]:
     by_key = rows.groupBy(key).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
     floor = floor_for(rows.groupBy(key).agg(F.sum("n").alias("total")), "total", most)
-    size = np.array([totals[x] + 0.5 * distinct for x in langs])
-    return {r[key]: np.log((np.array([r["by"].get(x, 0) for x in langs]) + 0.5) / size).astype(np.float32) for r in by_key.filter(F.col("total") >= max(2, floor)).select(key, "by").toLocalIterator()}
+    sizes = [(x, totals[x] + 0.5 * distinct) for x in langs]
+    return {r[key]: tuple(math.log((r["by"].get(x, 0) + 0.5) / size) for x, size in sizes) for r in by_key.filter(F.col("total") >= max(2, floor)).select(key, "by").collect()}
 
 
 def fit(labelled: DataFrame, max_words: int = 60_000, max_grams: int = 60_000) -> Backoff:

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, ctw, decontaminate, language_id, pii, quality_pu, quality_rules, secrets, simhash, warc
-from .common import crc_mod
+from .common import crc_mod, small_batches
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
