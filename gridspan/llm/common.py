@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,19 @@ from pyspark.sql import functions as F
 HISTOGRAM = 100_000
 
 
+def rewritten(docs: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs with the texts that `change` writes, under its own column names whatever they are.
+
+    `change` gets `text` beside columns that no operator uses, and returns them with `changed`: whether the text is
+    another one. Of these rows n_chars, where docs has it, becomes the length of the text.
+    """
+    names = docs.columns
+    inner = ["text" if c == "text" else f"_c{i}" for i, c in enumerate(names)]
+    out = change(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(names, inner, strict=True))))
+    size = lambda n: F.when(F.col("changed"), F.length("text").cast(out.schema[n].dataType)).otherwise(F.col(n))
+    return out.select(*((size(n) if c == "n_chars" else F.col(n)).alias(c) for c, n in zip(names, inner, strict=True)))
+
+
 def crc_mod(key: str, by: int) -> Column:
     """crc32 of a key's text, modulo `by`; null for a null key."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % by

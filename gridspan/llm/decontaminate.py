@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import rewritten
+
 #: Bytes of words: digits, letters and all beyond ASCII; A-Z fold to a-z, the rest separates.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 WINDOW = 10
@@ -216,14 +218,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
 
     A document without a hit keeps its text byte for byte. n_chars, where there is one, follows the text.
     """
-    found = hits(docs, items, window)
 
     @F.pandas_udf("string")
     def cut(text, ranges):
         return text.combine(ranges, lambda t, r: without(t, [(x["a"], x["b"]) for x in r]) if t is not None and len(r) else t)
 
-    hit = F.aggregate("ranges", F.lit(0), lambda n, r: n + r["b"] - r["a"])
-    out = found.filter(hit <= max_coverage * F.col("n_words")).withColumn("text", F.when(F.size("ranges") > 0, cut("text", "ranges")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("ranges") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    def change(inner: DataFrame) -> DataFrame:
+        hit = F.aggregate("ranges", F.lit(0), lambda n, r: n + r["b"] - r["a"])
+        found = hits(inner, items, window).filter(hit <= max_coverage * F.col("n_words")).withColumn("changed", F.size("ranges") > 0)
+        return found.withColumn("text", F.when(F.col("changed"), cut("text", "ranges")).otherwise(F.col("text")))
+
+    return rewritten(docs, change)

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, rewritten
 from .spans import found, luhn
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -186,22 +186,24 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span replaced by <KIND>; n_chars, where there is one, follows the text."""
     model = fit(candidates(docs, []))
-    table = classify(candidates(docs, docs.columns), model)
-    ordered = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"))))
-    clear = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.struct(
-            F.greatest(acc["at"], x["stop"]).alias("at"),
-            F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.lit("<"), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1)), F.lit(">"))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
-    )
-    some = F.size("spans") > 0
-    out = table.withColumn("text", F.when(some, clear).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(some, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+
+    def change(inner: DataFrame) -> DataFrame:
+        table = classify(candidates(inner, inner.columns), model)
+        ordered = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"))))
+        name = lambda x: F.upper(F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1))
+        clear = F.aggregate(
+            ordered,
+            F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+            lambda acc, x: F.struct(
+                F.greatest(acc["at"], x["stop"]).alias("at"),
+                F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.lit("<"), name(x), F.lit(">"))).otherwise(acc["out"]).alias("out"),
+            ),
+            lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
+        )
+        table = table.withColumn("changed", F.size("spans") > 0)
+        return table.withColumn("text", F.when(F.col("changed"), clear).otherwise(F.col("text")))
+
+    return rewritten(docs, change)
 
 
 def listed(spans: Column) -> Column:

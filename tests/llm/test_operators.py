@@ -205,6 +205,8 @@ def test_pii(spark):
             assert all(a[1] <= b[0] for a, b in itertools.pairwise(both))
     clean = pii.redact(documents(spark, ["write to a@b.org or +1 (961) 555-6946.", None, ""])).orderBy("doc_id").collect()
     assert [r["text"] for r in clean if r["doc_id"] == 0] == ["write to <EMAIL> or <PHONE>."]
+    clash = pii.redact(documents(spark, ["a@b.org"]).selectExpr("*", "'f' as found", "5 as held", "'k' as base_email")).filter("doc_id = 0").first()
+    assert [clash[c] for c in ("text", "found", "held", "base_email", "spans", "n_chars")] == ["<EMAIL>", "f", 5, "k", "s", 7]
     assert pii.find(empty(spark)).count() == 0
 
 
@@ -360,6 +362,10 @@ def test_decontamination(spark):
     docs = spark.createDataFrame([(1, f"Before it. {items[1][1]}! After  it, on and on and on and on and on and on."), (2, items[1][1]), (3, "Clean   text."), (4, None)], "doc_id long, text string")
     cut = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, table.filter("item_id = 2")).collect()}
     assert cut == {1: "Before it. ! After  it, on and on and on and on and on and on.", 3: "Clean   text.", 4: None}
+    clash = docs.selectExpr("*", "7L as n_words", "array(1) as ranges", "'x' as items", "true as changed", "99L as n_chars", "'f' as found")
+    again = {r["doc_id"]: r for r in decontaminate.decontaminate(clash, table.filter("item_id = 2")).collect()}
+    assert [again[1][c] for c in ("n_words", "ranges", "items", "changed", "found")] == [7, [1], "x", True, "f"]
+    assert again[1]["n_chars"] == len(cut[1]) and again[3]["n_chars"] == 99
     assert decontaminate.hits(documents(spark), table.filter("false")).filter("size(ranges) > 0").count() == 0
 
 
