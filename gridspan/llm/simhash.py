@@ -135,7 +135,7 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
 
     At such a similarity 64-bit SimHashes differ in about ten bits, beyond any small ball; so the fingerprint is made long,
     one segment for each slice of the shingles, and the tables are probed with whole segments. Each text meets the first
-    text of each of its table entries, never all pairs, and every meeting is verified on the whole shingle sets. Of a
+    and the last text of each of its table entries, never all pairs, and every meeting is verified on the whole shingle sets. Of a
     group the smallest doc_id stays; texts without a word are one group. All columns of docs are returned.
     """
     text_id = F.md5(F.coalesce(F.col("text"), F.lit("")))
@@ -148,7 +148,8 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     sketches = docs.select("doc_id", text_id.alias("h"), "text").mapInArrow(run, f"doc_id {doc_type}, h string, segs array<long>")
     points = keep(sketches.groupBy("h").agg(F.min("doc_id").alias("label"), F.first("segs").alias("segs")), "points")
     entries = points.select("h", F.posexplode("segs").alias("slot", "seg"))
-    heads = entries.groupBy("slot", "seg").agg(F.min("h").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    ends = entries.groupBy("slot", "seg").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high")
+    heads = ends.select("slot", "seg", F.explode(F.array("low", "high")).alias("head"))
     pairs = keep(entries.join(heads, ["slot", "seg"]).filter(F.col("h") != F.col("head")).select("h", "head").distinct(), "pairs")
     involved = pairs.select("h").union(pairs.select("head")).distinct()
     texts = keep(docs.select(text_id.alias("h"), "text").join(involved, "h", "left_semi").groupBy("h").agg(F.max("text").alias("text")), "texts")
