@@ -8,18 +8,42 @@ from pyspark.sql import functions as F
 from gridspan.functions.core import NUM, VALUE
 
 
+#: Ranges that an ordered column is cut into, so that no task runs through all of its rows.
+PARTS = 200
+
+
+def cumulative(df: DataFrame, value: str, order: str, out: str, by: list[str] | None = None, descending: bool = False, parts: int = PARTS) -> DataFrame:
+    """df with the running sum of a column along a numeric order, within groups or over the whole table.
+
+    Rows are cut into ranges of the order; a window runs inside each range of a group and starts at the sum of the ranges
+    before it. Ties of the order within a range have no determined order among themselves.
+    """
+    by = by or []
+    place = F.col(order).cast("double")
+    cuts = sorted(set(df.agg(F.percentile_approx(place, [i / parts for i in range(1, parts)], 10_000).alias("b")).first()["b"] or []))
+    slot = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b <= place)), F.lit(0)) if cuts else F.lit(0)
+    rows = df.withColumn("_slot", -slot if descending else slot)
+    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*by, "_slot").agg(F.sum(value).alias("_s"))
+    before = sums.select(*(F.col(b).alias(f"_k{i}") for i, b in enumerate(by)), F.col("_slot").alias("_at"), F.sum("_s").over(earlier).alias("_before"))
+    on = F.col("_slot") == F.col("_at")
+    for i, b in enumerate(by):
+        on = on & F.col(b).eqNullSafe(F.col(f"_k{i}"))
+    inside = Window.partitionBy(*by, "_slot").orderBy(F.col(order).desc() if descending else F.col(order).asc())
+    run = F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    joined = rows.join(before if by else F.broadcast(before), on)  # without groups at most `parts` rows
+    return joined.withColumn(out, F.coalesce("_before", F.lit(0)) + run).drop("_slot", "_at", "_before", *(f"_k{i}" for i in range(len(by))))
+
+
 def rank_of(df: DataFrame, x: str, out: str, descending: bool = True, average: bool = False, by: list[str] | None = None) -> DataFrame:
     """RANK or RANK.AVG of every row within its group.
 
-    Ranks come from the counts of distinct values: a window over these, not over the rows, and a join back.
+    Ranks come from running counts of the distinct values, joined back to the rows.
     """
     by = by or []
     counts = df.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_n"))
-    order = F.col(x).desc() if descending else F.col(x).asc()
-    window = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order)
-    above = F.sum("_n").over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
-    rank = above + 1 + ((F.col("_n") - 1) / 2 if average else 0)
-    ranked = counts.select(*(F.col(b).alias(f"_b{i}") for i, b in enumerate(by)), F.col(x).alias("_x"), rank.cast("double" if average else "long").alias(out))
+    rank = F.col("_upto") - F.col("_n") + 1 + ((F.col("_n") - 1) / 2 if average else 0)
+    ranked = cumulative(counts, "_n", x, "_upto", by, descending).select(*(F.col(b).alias(f"_b{i}") for i, b in enumerate(by)), F.col(x).alias("_x"), rank.cast("double" if average else "long").alias(out))
     on = F.col(x) == F.col("_x")
     for i, b in enumerate(by):
         on = on & F.col(b).eqNullSafe(F.col(f"_b{i}"))
@@ -62,12 +86,14 @@ def trim_mean(df: DataFrame, x: str, share: float, by: list[str]) -> DataFrame:
     """TRIMMEAN of each group: whole counts off both ends, by the running count of distinct values."""
     c = F.col(x)
     counts = df.filter(c.isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_n"))
-    group = Window.partitionBy(*(by or [F.lit(0)]))
-    run = F.sum("_n").over(group.orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    total = F.sum("_n").over(group)
-    cut = F.floor(total * share / 2)
-    left = F.greatest(F.lit(0), F.least(run, total - cut) - F.greatest(run - F.col("_n"), cut))
-    return counts.withColumn("_w", left).groupBy(*by).agg(F.try_divide(F.sum(c * F.col("_w")), F.sum("_w").cast("double")).alias("value"))
+    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total")).withColumnsRenamed({b: f"_g{i}" for i, b in enumerate(by)})
+    on = F.lit(True)
+    for i, b in enumerate(by):
+        on = on & F.col(b).eqNullSafe(F.col(f"_g{i}"))
+    rows = cumulative(counts, "_n", x, "_upto", by).join(totals, on)
+    cut = F.floor(F.col("_total") * share / 2)
+    left = F.greatest(F.lit(0), F.least(F.col("_upto"), F.col("_total") - cut) - F.greatest(F.col("_upto") - F.col("_n"), cut))
+    return rows.withColumn("_w", left).groupBy(*by).agg(F.try_divide(F.sum(c * F.col("_w")), F.sum("_w").cast("double")).alias("value"))
 
 
 def mode_of(df: DataFrame, x: str, position: str, by: list[str]) -> DataFrame:
@@ -116,20 +142,6 @@ def occurrence(by: list[str], order: list[str]) -> Column:
     return F.row_number().over(filled(by, order))
 
 
-def whole_running_sum(df: DataFrame, x: str, order: str, out: str, parts: int = 200) -> DataFrame:
-    """A running total over a whole table: range-partitioned parts are summed, and each part's window starts at the sum before it.
-
-    `order` must have no ties for the result to be determined.
-    """
-    cuts = sorted(set(df.agg(F.percentile_approx(F.col(order).cast("double"), [i / parts for i in range(1, parts)], 10_000).alias("b")).first()["b"] or []))
-    slot = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b <= F.col(order).cast("double"))), F.lit(0)) if cuts else F.lit(0)
-    rows = df.withColumn("_slot", slot)
-    sums = rows.groupBy("_slot").agg(F.sum(x).alias("_s"))
-    before = sums.select("_slot", F.coalesce(F.sum("_s").over(Window.partitionBy(F.lit(0)).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
-    run = F.sum(x).over(Window.partitionBy("_slot").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.join(F.broadcast(before), "_slot").withColumn(out, F.col("_before") + run).drop("_slot", "_before")
-
-
 def recurrence(df: DataFrame, by: list[str], order: str, start: float, factor: str, addend: str, out: str) -> DataFrame:
     """X[r] = factor[r] * X[r-1] + addend[r] within each key: affine steps folded by their composition in one aggregate.
 

@@ -249,7 +249,7 @@ def filled_formulas(spark, sf_dir):
 def whole_running_total(spark, sf_dir):
     """=SUM(B$1:B5) down a whole table, in range parts."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("x"))
-    return ranking.whole_running_sum(orders, "x", "o_orderkey", "cents").select("o_orderkey", F.col("cents").cast("long").alias("cents"))
+    return ranking.cumulative(orders, "x", "o_orderkey", "cents").select("o_orderkey", F.col("cents").cast("long").alias("cents"))
 
 
 @register(

@@ -237,7 +237,7 @@ def test_ranks(spark):
     assert ranking.rank_value(df, "x", 9.0).first()["err"] == "#VALUE!"
     assert ranking.percent_rank(df, "x", 3.5).first()["value"] == 0.625
     rows = spark.createDataFrame([(i, float(i % 7)) for i in range(500)], "o long, x double")
-    out = ranking.whole_running_sum(rows, "x", "o", "s").orderBy("o").collect()
+    out = ranking.cumulative(rows, "x", "o", "s").orderBy("o").collect()
     total = 0.0
     for r in out:
         total += r["x"]
