@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,9 +26,24 @@ def _text(*names: str):
     return put
 
 
+def one_to_one(s: Column) -> Column:
+    """Whether each character of a text is one a reader sees: ASCII without line break pairs."""
+    return (F.octet_length(s) == F.char_length(s)) & ~F.contains(s, F.lit("\r\n"))
+
+
+def clusters(s: Column) -> Column:
+    """What a reader takes for the characters of a text, as an array."""
+    return F.regexp_extract_all(s, F.lit(r"\X"), F.lit(0))
+
+
+def part(s: Column, start: Column, n: Column) -> Column:
+    """n characters from a place, as a reader counts them."""
+    return F.when(one_to_one(s), F.substring(s, start, n)).otherwise(F.array_join(F.slice(clusters(s), start, n), ""))
+
+
 _text("LOWER")(F.lower)
 _text("UPPER")(F.upper)
-_text("LEN")(lambda s: F.char_length(s).cast("double"))
+_text("LEN")(lambda s: F.when(one_to_one(s), F.char_length(s)).otherwise(F.size(clusters(s))).cast("double"))
 _text("LENB")(lambda s: F.octet_length(s).cast("double"))
 _text("CLEAN")(lambda s: F.regexp_replace(s, r"[\x00-\x1F]", ""))
 
@@ -42,7 +59,7 @@ def trim(x, mode="compat"):
 @_text("PROPER")
 def proper(s):
     """A capital after every character that is no letter."""
-    return F.array_join(F.transform(F.regexp_extract_all(F.lower(s), F.lit(r"\p{L}+|[^\p{L}]+"), 0), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.expr("''"), F.substr(w, F.lit(2)))), "")
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(s), F.lit(r"\p{L}+|[^\p{L}]+"), 0), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), "")
 
 
 @fx("CHAR")
@@ -107,21 +124,24 @@ def search(a, b, start=1):
 def left(s, n):
     """The first characters."""
     x, k = text(s), number(n)
-    return guarded(F.left(x.value, F.floor(k.value).cast("int")), (k.value < 0, VALUE), args=(x, k))
+    return guarded(part(x.value, F.lit(1), F.greatest(F.floor(k.value).cast("int"), F.lit(0))), (k.value < 0, VALUE), args=(x, k))
 
 
 @fx("RIGHT", "RIGHTB", least=2)
 def right(s, n):
     """The last characters."""
     x, k = text(s), number(n)
-    return guarded(F.right(x.value, F.floor(k.value).cast("int")), (k.value < 0, VALUE), args=(x, k))
+    n = F.greatest(F.floor(k.value).cast("int"), F.lit(0))
+    seen = clusters(x.value)
+    far = F.array_join(F.slice(seen, F.greatest(F.size(seen) - n, F.lit(0)) + 1, n), "")
+    return guarded(F.when(one_to_one(x.value), F.right(x.value, n)).otherwise(far), (k.value < 0, VALUE), args=(x, k))
 
 
 @fx("MID", "MIDB", least=3)
 def mid(s, start, n):
     """Characters from a place."""
     x, a, k = text(s), number(start), number(n)
-    return guarded(F.substring(x.value, F.floor(a.value).cast("int"), F.greatest(F.floor(k.value).cast("int"), F.lit(0))), ((a.value < 1) | (k.value < 0), VALUE), args=(x, a, k))
+    return guarded(part(x.value, F.greatest(F.floor(a.value).cast("int"), F.lit(1)), F.greatest(F.floor(k.value).cast("int"), F.lit(0))), ((a.value < 1) | (k.value < 0), VALUE), args=(x, a, k))
 
 
 @fx("REPLACE", "REPLACEB", least=4)
@@ -185,27 +205,62 @@ def dollar(x, digits=2):
     return Val(F.when(v.value < 0, F.concat(F.lit("("), amount, F.lit(")"))).otherwise(amount), first_error(v, d))
 
 
+#: A number mask: literals before, digits with optional decimals and exponent, percent, literals after.
+LITERALS = r'(?:"[^"]*"|\\.|[$€£() +-])*'
+MASK = re.compile(rf"(?P<pre>{LITERALS})(?P<whole>#,##0|#,###|[#0]+)(?:\.(?P<digits>[0#]+))?(?P<exponent>E[+-]0+)?(?P<percent>%?)(?P<post>{LITERALS})")
+
+
+def _literal(raw: str) -> Column:
+    return F.lit(re.sub(r'"([^"]*)"|\\(.)', lambda m: m[1] if m[1] is not None else m[2], raw))
+
+
+def _masked(x: Column, mask: str) -> Column | None:
+    """Text of a number that is not negative by one section of a mask; null if the mask is none."""
+    m = MASK.fullmatch(mask)
+    if not m:
+        return None
+    digits = len(m["digits"] or "")
+    optional = len(m["digits"] or "") - len((m["digits"] or "").rstrip("#"))
+    least = m["whole"].replace("#,##", "").count("0")
+    x = x * 100 if m["percent"] else x
+    tail = F.lit("")
+    if m["exponent"]:
+        power = F.when(x == 0, F.lit(0.0)).otherwise(F.floor(F.log10(x)).cast("double"))
+        x = F.try_divide(x, F.pow(F.lit(10.0), power))
+        sign = F.when(power < 0, "-").otherwise("+" if "+" in m["exponent"] else "")
+        tail = F.concat(F.lit("E"), sign, F.lpad(F.abs(power).cast("int").cast("string"), m["exponent"].count("0"), "0"))
+    out = grouped_digits(x, F.lit(float(digits)), "," in m["whole"])
+    if optional:
+        out = F.regexp_replace(F.regexp_replace(out, f"0{{1,{optional}}}$", ""), r"\.$", "")
+    if least > 1:
+        short = least - F.length(F.regexp_extract(out, r"^[0-9]*", 0))
+        out = F.when(short > 0, F.concat(F.repeat(F.lit("0"), short), out)).otherwise(out)
+    if least == 0:
+        out = F.regexp_replace(out, r"^0(?=\.|$)", "")
+    return F.concat(_literal(m["pre"]), out, tail, F.lit(m["percent"]), _literal(m["post"]))
+
+
 @fx("TEXT", least=2)
 def shown(x, mask):
-    """A number in the common masks: 0, 0.00, #,##0, #,##0.00, 0%, 0.00%, @, General and date masks of y, m, d, h, s.
+    """A number in a mask of up to three sections (positive; negative; zero): 000, #,##0.0#, 0%, 0.00E+00, literals in
+    quotes or after a backslash, signs and currency; @ and General; and date masks of y, m, d, h, s.
 
     The mask is a Python string: it is read when the plan is made. Other masks are #VALUE!.
     """
-    import re
-
     from .dates import moment_of
 
-    v = number(x) if mask != "@" else text(x)
     if mask in ("@", "General"):
         return text(x)
-    if m := re.fullmatch(r"(#,##)?0(?:\.(0+))?(%)?", mask):
-        digits = F.lit(float(len(m[2] or "")))
-        out = grouped_digits(v.value * (100 if m[3] else 1), digits, bool(m[1]))
-        return Val(F.concat(out, F.lit("%")) if m[3] else out, v.err)
+    v = number(x)
     if re.fullmatch(r"[ymdhs/:\- .,]+", mask):
         java = re.sub(r"(?<=h)(:)m+|m+(?=:s)", lambda k: k[0].replace("mm", "\0\0").replace("m", "\0"), mask).replace("m", "M").replace("\0", "m").replace("h", "H")
         return guarded(F.date_format(moment_of(v.value), java), (v.value < 0, VALUE), args=(v,))
-    return Val(F.lit(None).cast("string"), F.lit(VALUE))
+    parts = [_masked(F.abs(v.value), p) for p in re.findall(r'(?:"[^"]*"|\\.|[^;"\\])+', mask)]
+    if not 1 <= len(parts) <= 3 or any(p is None for p in parts):
+        return Val(F.lit(None).cast("string"), F.lit(VALUE))
+    negative = parts[1] if len(parts) > 1 else F.concat(F.lit("-"), parts[0])
+    zero = parts[2] if len(parts) > 2 else parts[0]
+    return Val(F.when(v.value < 0, negative).when(v.value == 0, zero).otherwise(parts[0]), v.err, "text")
 
 
 def _flag(pattern: Val, insensitive: Val) -> Column:
@@ -228,8 +283,6 @@ def regexextract(s, pattern, what=0, insensitive=0):
     if what == 1:
         out = F.regexp_extract_all(x.value, used, F.lit(0))
     elif what == 2:
-        import re
-
         groups = re.compile(pattern).groups
         out = F.array(*(F.call_function("regexp_extract", x.value, used, F.lit(g)) for g in range(1, groups + 1)))
     else:

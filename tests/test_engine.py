@@ -74,6 +74,16 @@ CASES = [
     ("value bad", "VALUE", ("12a",), "#VALUE!"),
     ("text", "TEXT", (1234.5, "#,##0.00"), "1,234.50"),
     ("text percent", "TEXT", (0.285, "0.0%"), "28.5%"),
+    ("len clusters", "LEN", ("e\u0301👩‍👩‍👧x",), 3.0),
+    ("left clusters", "LEFT", ("e\u0301bc", 2), "e\u0301b"),
+    ("right clusters", "RIGHT", ("abe\u0301", 1), "e\u0301"),
+    ("mid clusters", "MID", ("ae\u0301bc", 2, 2), "e\u0301b"),
+    ("text zeros", "TEXT", (7, "000"), "007"),
+    ("text optional", "TEXT", (3.5, "0.0##"), "3.5"),
+    ("text sections", "TEXT", (-1234.5, '"$"#,##0.00;("$"#,##0.00)'), "($1,234.50)"),
+    ("text negative", "TEXT", (-2.25, "0.0"), "-2.3"),
+    ("text exponent", "TEXT", (12345, "0.00E+00"), "1.23E+04"),
+    ("text unknown", "TEXT", (1, "??/??"), "#VALUE!"),
     ("textjoin", "TEXTJOIN", (", ", True, "a", "", "b"), "a, b"),
     ("address", "ADDRESS", (2, 28), "$AB$2"),
     ("address mixed", "ADDRESS", (2, 3, 2, False), "R2C[3]"),
