@@ -66,7 +66,7 @@ def links(points: DataFrame) -> DataFrame:
 
 
 def components(points: DataFrame, edges: DataFrame, vertex: str, most_rounds: int = 60) -> DataFrame:
-    """Each vertex with the smallest label reachable: alternating hooks of neighbours and pointer jumps, all as joins.
+    """Each vertex with its component's root and smallest label: alternating hooks of neighbours and pointer jumps, all as joins.
 
     points: (vertex, label), edges: (a, b). The labels of linked vertices only take part; each round is written to the
     shared folder, so a lost executor costs one round at most.
@@ -90,7 +90,7 @@ def components(points: DataFrame, edges: DataFrame, vertex: str, most_rounds: in
     else:
         raise RuntimeError("components did not settle")
     named = points.join(state.withColumnRenamed("v", vertex), vertex, "left").select(vertex, "label", F.coalesce("c", F.col(vertex)).alias("c"))
-    return named.join(named.groupBy("c").agg(F.min("label").alias("component_id")), "c").select(vertex, "component_id")
+    return named.join(named.groupBy("c").agg(F.min("label").alias("component_id")), "c").select(vertex, F.col("c").alias("root"), "component_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -170,9 +170,10 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     met = pairs.join(texts.withColumnRenamed("text", "own"), "h").join(texts.withColumnsRenamed({"h": "head", "text": "of_head"}), "head").select("h", "head", "own", "of_head")
     edges = met.mapInArrow(alike, "a string, b string")
     groups = components(points.select("h", "label"), edges, "h")
-    # of each component the text that holds its smallest id stays; ties between texts of one id go to the smallest text id
-    first = points.select("h", "label").join(groups, "h").filter(F.col("label").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("h").alias("h"))
+    # of each component the text that holds its smallest id stays, a null only if there is no other; ties go to the smallest text id
+    best = F.min(F.struct(F.col("label").isNull().alias("none"), F.col("label").alias("label"), F.col("h").alias("h"))).alias("best")
+    first = points.select("h", "label").join(groups, "h").groupBy("root").agg(best).select("best.h", F.col("best.label").alias("first_id"))
     names = docs.columns
     own = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)), text_id.alias("h"), F.col("doc_id").alias("id"))
-    kept = own.join(first, (own["h"] == first["h"]) & own["id"].eqNullSafe(first["component_id"]), "left_semi").dropDuplicates(["h", "id"])
+    kept = own.join(first, (own["h"] == first["h"]) & own["id"].eqNullSafe(first["first_id"]), "left_semi").dropDuplicates(["h", "id"])
     return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))

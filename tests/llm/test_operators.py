@@ -305,6 +305,9 @@ def test_distinct_documents(spark):
     near = [" ".join(w if k != 100 else "changed" for k, w in enumerate(t.split())) for t in long]
     half = [" ".join([*t.split()[:150], *(f"z{rng.randint(0, 10**6)}" for _ in range(150))]) for t in long]
     docs = documents(spark, long + near + half + [None, "", "one", "one"])
+    lost = [" ".join(f"n{rng.randint(0, 10**6)}" for _ in range(50)) for _ in range(3)]
+    lost = spark.createDataFrame([(None, t) for t in [*lost, lost[0]]], "doc_id long, text string")
+    assert simhash.distinct_documents(lost).count() == 3
     kept = simhash.distinct_documents(docs)
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
