@@ -135,7 +135,8 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
 
     At such a similarity 64-bit SimHashes differ in about ten bits, beyond any small ball; so the fingerprint is made long,
     one segment for each slice of the shingles, and the tables are probed with whole segments. Each text meets the first
-    and the last text of each of its table entries, never all pairs, and every meeting is verified on the whole shingle sets. Of a
+    and the last text of each of its table entries, never all pairs, and every meeting is verified on the whole shingle
+    sets; the first and the last of those that are like neither meet all of the entry in a second round. Of a
     group the smallest doc_id stays; texts without a word are one group. All columns of docs are returned.
     """
     text_id = F.md5(F.coalesce(F.col("text"), F.lit("")))
@@ -148,9 +149,16 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     sketches = docs.select("doc_id", text_id.alias("h"), "text").mapInArrow(run, f"doc_id {doc_type}, h string, segs array<long>")
     points = keep(sketches.groupBy("h").agg(F.min("doc_id").alias("label"), F.first("segs").alias("segs")), "points")
     entries = points.select("h", F.posexplode("segs").alias("slot", "seg"))
-    ends = entries.groupBy("slot", "seg").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high")
-    heads = ends.select("slot", "seg", F.explode(F.array("low", "high")).alias("head"))
-    pairs = keep(entries.join(heads, ["slot", "seg"]).filter(F.col("h") != F.col("head")).select("h", "head").distinct(), "pairs")
+    ends = keep(entries.groupBy("slot", "seg").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high"), "ends")
+    # the members of entries with company; texts that share no segment with another are done with here
+    members = keep(entries.join(ends, ["slot", "seg"]), "members")
+
+    def against(heads: DataFrame) -> DataFrame:
+        """Pairs of each member of an entry with the entry's heads (low and high)."""
+        each = heads.select("slot", "seg", F.explode(F.array("low", "high")).alias("head"))
+        return members.select("slot", "seg", "h").join(each, ["slot", "seg"]).filter(F.col("h") != F.col("head")).select("h", "head").distinct()
+
+    pairs = keep(against(ends), "pairs")
     involved = pairs.select("h").union(pairs.select("head")).distinct()
     texts = keep(docs.select(text_id.alias("h"), "text").join(involved, "h", "left_semi").groupBy("h").agg(F.max("text").alias("text")), "texts")
 
@@ -167,8 +175,17 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
                     kept.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), batch.column(1).take(pa.array(kept, pa.int64()))], ["a", "b"])
 
-    met = pairs.join(texts.withColumnRenamed("text", "own"), "h").join(texts.withColumnsRenamed({"h": "head", "text": "of_head"}), "head").select("h", "head", "own", "of_head")
-    edges = met.mapInArrow(alike, "a string, b string")
+    def verified(met: DataFrame) -> DataFrame:
+        both = met.join(texts.withColumnRenamed("text", "own"), "h").join(texts.withColumnsRenamed({"h": "head", "text": "of_head"}), "head")
+        return keep(both.select("h", "head", "own", "of_head").mapInArrow(alike, "a string, b string"), "edges")
+
+    first_edges = verified(pairs)
+    # members that are like neither head of an entry give its heads of a second round, which all members meet
+    either = first_edges.union(first_edges.select("b", "a")).distinct()
+    low, high = (either.select(F.col("a").alias("h"), F.col("b").alias(n), F.lit(True).alias(f"like_{n}")) for n in ("low", "high"))
+    unlike = members.filter((F.col("h") != F.col("low")) & (F.col("h") != F.col("high"))).join(low, ["h", "low"], "left").join(high, ["h", "high"], "left").filter("like_low is null and like_high is null")
+    again = unlike.groupBy("slot", "seg").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    edges = first_edges.union(verified(against(again).join(pairs, ["h", "head"], "left_anti")))
     groups = components(points.select("h", "label"), edges, "h")
     # of each component the text that holds its smallest id stays, a null only if there is no other; ties go to the smallest text id
     best = F.min(F.struct(F.col("label").isNull().alias("none"), F.col("label").alias("label"), F.col("h").alias("h"))).alias("best")
