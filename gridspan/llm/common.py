@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Upper limit of the log-free histogram that `floor_for` reads; counts beyond it share one bucket.
-HISTOGRAM = 100_000
+#: Leading bits to which `floor_for` tells counts apart: counts up to 1023 exactly, larger ones to a fifth of a percent.
+LEADING_BITS = 10
 
 
 def rewritten(docs: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -65,10 +65,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 def floor_for(counts: DataFrame, column: str, most: int, weight: str | None = None) -> int:
     """The smallest count such that at most `most` rows (or their summed weight) reach it: a bound on a model's size that drops ties as a whole.
 
-    One aggregation over the counts; nothing but a histogram of at most HISTOGRAM rows reaches the driver.
+    One aggregation over the counts; whatever their size, nothing but a histogram of at most 64 * 2**LEADING_BITS rows
+    reaches the driver.
     """
-    rows = counts.groupBy(F.least(F.col(column), F.lit(HISTOGRAM)).alias("c")).agg((F.sum(weight) if weight else F.count("*")).alias("count")).collect()
-    total, floor = 0, HISTOGRAM + 1
+    cut = f"greatest(0, length(bin({column})) - {LEADING_BITS})"
+    rows = counts.groupBy(F.expr(f"shiftleft(shiftright({column}, {cut}), {cut})").alias("c")).agg((F.sum(weight) if weight else F.count("*")).alias("count")).collect()
+    total, floor = 0, (1 << 63) - 1
     for c, n in sorted(((r["c"], r["count"]) for r in rows), reverse=True):
         total += n
         if total > most:

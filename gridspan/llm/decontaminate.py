@@ -5,8 +5,8 @@ longest matching length is tracked: where it reaches a window (10 words, or a wh
 window are hit. A word pair that no item holds resets the automaton to its root, so whole runs of such pairs are skipped
 by an array look-up before the automaton is walked; the result is the same.
 
-Items are dealt into blocks of at most `block_words` words, which bounds the broadcast; each block is one more pass over
-the documents, and their hits are united.
+Items are dealt into blocks of at most `block_words` words, which bounds the broadcast (about 750 bytes a word); each
+block is one more pass over the documents, and their hits are united.
 
 Edge cases: null texts have no words. Items without a word have no window. Rows of documents that repeat are each
 reported. Items that repeat an id count once.
@@ -163,7 +163,7 @@ def blocks_of(items: DataFrame, block_words: int) -> Iterator[list[tuple[object,
     yield block
 
 
-def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = 2_000_000) -> DataFrame:
+def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = 200_000) -> DataFrame:
     """The columns of docs, then n_words, ranges (array of word ranges hit) and items (ids, as strings, sorted)."""
     docs = docs.drop("n_words", "ranges", "items")
     names = docs.columns

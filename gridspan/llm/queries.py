@@ -10,6 +10,40 @@ from pyspark.sql import functions as F
 from . import bpe, ctw, decontaminate, language_id, pii, quality_pu, quality_rules, secrets, simhash, warc
 from .common import crc_mod, small_batches
 
+_ITEM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Every window of every item, joined to every run of as many document words.
+DECONTAMINATE_SQL = f"""
+WITH doc AS (SELECT doc_id, row_number() OVER () AS rid, {_ITEM_WORDS} AS w FROM documents),
+item AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_ITEM_WORDS} AS w FROM benchmark),
+starts AS (SELECT item_id, w, least(len(w), {decontaminate.WINDOW}) AS n, unnest(range(1, len(w) - least(len(w), {decontaminate.WINDOW}) + 2)) AS i FROM item WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win FROM starts),
+sizes AS (SELECT DISTINCT n FROM win),
+word AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM doc),
+pos AS (
+  SELECT rid, i, list(word) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND {decontaminate.WINDOW - 1} FOLLOWING) AS ahead FROM word
+),
+met AS (
+  SELECT p.rid, p.i, p.n, item_id
+  FROM (SELECT rid, i, n, array_to_string(list_slice(ahead, 1, n), ' ') AS win FROM pos CROSS JOIN sizes WHERE len(ahead) >= n) p JOIN win USING (n, win)
+),
+hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM met) GROUP BY rid),
+its AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT rid, item_id FROM met) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
+"""
+
+#: What an archive must give back, without one.
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= {warc.MIN_REVISIT} THEN min(page_id) OVER (PARTITION BY html) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, sha256(html) AS payload_digest,
+  CASE WHEN first IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM f
+"""
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table."""
@@ -101,4 +135,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express the whole query."""
-    return {}
+    return {"op9_decontaminate": DECONTAMINATE_SQL, "op10_warc": WARC_SQL}

@@ -6,9 +6,10 @@ stands for are joined to the payloads as a broadcast where they are few, otherwi
 as text whose line separator is the empty line pair that ends a WARC record, so any file system that Spark writes to will
 do, and the commit protocol covers lost executors.
 
-Reading: archives are plain or have one gzip member a record. A record whose version line, header, length, trailer or
-payload digest fails is not returned; the reader looks for the next version line or member that reads as a whole valid
-record, goes on from there, and reports the bytes between as a quarantined gap with its reason.
+Reading: archives are plain or gzip members of one or more records. A record whose version line, header, length, trailer
+or payload digest fails is not returned; the reader looks for the next version line or member that reads as a whole valid
+record, goes on from there, and reports the bytes between as a quarantined gap with its reason. What a member holds,
+gaps included, is reported at the member's place.
 
 Edge cases: a null payload is empty, a null url is an empty target, line breaks in a url are percent-encoded. Null ids
 are written without one and read back as null, and are the smallest of no group unless all ids are null. Rows that
@@ -34,6 +35,8 @@ END = "\r\n\r\n"
 FEW = 200_000
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 MAX_HEADER = 1 << 16
+#: Compressed bytes that a member is read by, so that the rest of the archive is not copied for each of its members.
+STEP = 1 << 15
 VERSION = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 
 
@@ -73,7 +76,7 @@ def record() -> F.Column:
     )
 
 
-def write(pages: DataFrame, path: str, records_a_file: int = 20_000) -> None:
+def write(pages: DataFrame, path: str, records_a_file: int = 4_000) -> None:
     """Archive pages (page_id, url, html) under a path, as plain WARC files."""
     roles(pages).select(record().alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_a_file).text(path)
 
@@ -106,38 +109,52 @@ def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
     return header, block, end + 4
 
 
-def _at(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
-    """A plain record or a gzip member with one."""
-    if data[at : at + 2] != b"\x1f\x8b":
-        return _record(data, at)
-    member = zlib.decompressobj(31)
+Found = tuple[str | None, dict[str, str] | None, bytes | None]
+
+
+def _member(data: bytes, at: int) -> tuple[list[Found], int] | str:
+    """What the gzip member at a place holds and its end, or why it holds no record."""
+    member, plain, fed = zlib.decompressobj(31), bytearray(), at
     try:
-        plain = member.decompress(data[at:])
+        while not member.eof and fed < len(data):
+            plain += member.decompress(data[fed : fed + STEP])
+            fed = min(fed + STEP, len(data))
     except zlib.error:
         return "broken gzip member"
     if not member.eof:
         return "cut gzip member"
-    got = _record(plain, 0)
-    return got if isinstance(got, str) else (got[0], got[1], len(data) - len(member.unused_data))
+    inner = [x[2:] for x in salvage(bytes(plain), nested=True)]
+    if all(reason for reason, *_ in inner):
+        return inner[0][0] if inner else "empty gzip member"
+    return inner, fed - len(member.unused_data)
+
+
+def _at(data: bytes, at: int, nested: bool = False) -> tuple[list[Found], int] | str:
+    """What a plain record or a gzip member holds and its end, or why there is neither."""
+    if data[at : at + 2] == b"\x1f\x8b" and not nested:
+        return _member(data, at)
+    got = _record(data, at)
+    return got if isinstance(got, str) else ([(None, *got[:2])], got[2])
 
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str] | None, bytes | None]]:
-    """(offset, length, reason, header, block) of every record, and of every gap with its reason."""
+def salvage(data: bytes, nested: bool = False) -> Iterator[tuple[int, int, str | None, dict[str, str] | None, bytes | None]]:
+    """(offset, length, reason, header, block) of every record, and of every gap with its reason. Nested: no member is looked for."""
     at = 0
     while at < len(data):
-        got = _at(data, at)
+        got = _at(data, at, nested)
         if isinstance(got, str):
             start = at
             for m in VERSION.finditer(data, at + 1):
-                if not isinstance(_at(data, m.start()), str):
+                if not isinstance(_at(data, m.start(), nested), str):
                     at = m.start()
                     break
             else:
                 at = len(data)
             yield start, at - start, got, None, None
         else:
-            yield at, got[2] - at, None, got[0], got[1]
-            at = got[2]
+            for found in got[0]:
+                yield at, got[1] - at, *found
+            at = got[1]
 
 
 FIELDS = "path string, offset long, length long, gap string, page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary"
