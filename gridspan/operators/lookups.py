@@ -46,8 +46,9 @@ def blockref(df: DataFrame, on: str, block: DataFrame, key: str, field: str, pos
 def approximate(df: DataFrame, on: str, table: DataFrame, key: str, field: str, position: str | None = None, ranges: int = 1024) -> DataFrame:
     """df with the field of the largest key at or below each value, the first row of equal keys; #N/A below all keys.
 
-    An as-of join by union and running last value. Both sides are dealt into at most `ranges` ranges of the key, so that
-    no task holds all rows; what a range inherits is the last key of the ranges before it, one row a range.
+    An as-of join by union and running last value over the distinct values, joined back to the rows. Both sides are dealt
+    into at most `ranges` ranges of the key, so that no task holds all of them; what a range inherits is the last key of
+    the ranges before it, one row a range.
     """
     extra = [position] if position and position not in (key, field) else []
     keys = first_match(table.filter(F.col(key).isNotNull()).select(key, field, *extra), key, [field], position)
@@ -58,14 +59,15 @@ def approximate(df: DataFrame, on: str, table: DataFrame, key: str, field: str,
     tails = right.groupBy("slot").agg(F.max_by("hit", "k").alias("hit"))
     spine = df.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("slot")).join(tails, "slot", "left")
     before = spine.select("slot", F.last("hit", True).over(Window.partitionBy(F.lit(0)).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    names = df.columns
-    left = df.select(F.struct(*names).alias("row"), F.col(on).cast("double").alias("k")).select("row", "k", slot)
-    left = left.join(F.broadcast(before), "slot", "left")  # at most `ranges` rows
-    merged = left.withColumn("side", F.lit(1)).unionByName(right.withColumn("side", F.lit(0)), allowMissingColumns=True)
+    # each distinct value is looked up once, so a frequent one is one row of a range's window
+    wanted = df.select(F.col(on).cast("double").alias("k")).filter("k is not null").distinct().select("k", slot)
+    wanted = wanted.join(F.broadcast(before), "slot", "left")  # at most `ranges` rows
+    merged = wanted.withColumn("side", F.lit(1)).unionByName(right.withColumn("side", F.lit(0)), allowMissingColumns=True)
     run = Window.partitionBy("slot").orderBy("k", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = merged.withColumn("hit", F.coalesce(F.last("hit", True).over(run), "before")).filter("side = 1")
-    good = F.col("k").isNotNull() & F.col("hit").isNotNull()
-    return out.select(*(F.col("row")[n].alias(n) for n in names), F.when(good, F.col("hit.v")).alias(field), F.when(~good, NA).alias("err"))
+    answers = merged.withColumn("hit", F.coalesce(F.last("hit", True).over(run), "before")).filter("side = 1").select(F.col("k").alias("_k"), F.col("hit").alias("_hit"))
+    names = df.columns
+    out = df.select(F.struct(*names).alias("row"), F.col(on).cast("double").alias("k")).join(answers, F.col("k") == F.col("_k"), "left")
+    return out.select(*(F.col("row")[n].alias(n) for n in names), F.col("_hit.v").alias(field), F.when(F.col("_hit").isNull(), NA).alias("err"))
 
 
 def _slot(c: Column, cuts: list) -> Column:

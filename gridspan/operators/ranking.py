@@ -142,11 +142,57 @@ def occurrence(by: list[str], order: list[str]) -> Column:
     return F.row_number().over(filled(by, order))
 
 
-def recurrence(df: DataFrame, by: list[str], order: str, start: float, factor: str, addend: str, out: str) -> DataFrame:
-    """X[r] = factor[r] * X[r-1] + addend[r] within each key: affine steps folded by their composition in one aggregate.
+#: Rows of a key that are folded as one array.
+BLOCK = 1000
 
-    A key's rows are one sequence, so they are gathered as an array; keys bound it.
+
+def recurrence(df: DataFrame, by: list[str], order: str, start: float, factor: str, addend: str, out: str, block: int = BLOCK) -> DataFrame:
+    """X[r] = factor[r] * X[r-1] + addend[r] within each key.
+
+    Affine steps compose, so a long key is cut into blocks of rows: each block is one affine step itself, the same
+    recurrence over these steps gives the value that enters each block, and only blocks are folded row by row.
     """
-    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(factor).cast("double").alias("a"), F.col(addend).cast("double").alias("b")))).alias("s"))
-    steps = F.aggregate("s", F.struct(F.lit(float(start)).alias("x"), F.array().cast("array<struct<o:double,x:double>>").alias("out")), lambda acc, r: F.struct((acc["x"] * r["a"] + r["b"]).alias("x"), F.concat(acc["out"], F.array(F.struct(r["o"].cast("double").alias("o"), (acc["x"] * r["a"] + r["b"]).alias("x")))).alias("out")), lambda acc: acc["out"])
-    return rows.select(*by, F.explode(steps).alias("e")).select(*by, F.col("e.o").cast(df.schema[order].dataType).alias(order), F.col("e.x").alias(out))
+    rows = df.select(*by, F.col(order).alias("_o"), F.col(factor).cast("double").alias("_a"), F.col(addend).cast("double").alias("_b"))
+    ends = _ends(rows, by, start, block)
+    return ends.select(*by, F.col("_o").cast(df.schema[order].dataType).alias(order), F.col("_x").alias(out))
+
+
+def _ends(rows: DataFrame, by: list[str], start: float, block: int) -> DataFrame:
+    """rows (by, _o, _a, _b) with the value _x after each step."""
+    most = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if most <= block:
+        return _folded(_blocks(rows.withColumn("_block", F.lit(0).cast("long")), by).withColumn("_x0", F.lit(float(start))), by)
+    place = F.col("_o").cast("double")
+    # ranges of the order first, so that no window holds all rows of a key, then blocks of rows in each range; a key has
+    # far fewer blocks than rows, so the rounds end
+    parts = min(PARTS, most // (4 * block))
+    cuts = sorted(set(rows.agg(F.percentile_approx(place, [i / parts for i in range(1, parts)], 10_000).alias("b")).first()["b"] or [])) if parts > 1 else []
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b <= place)).cast("long") if cuts else F.lit(0).cast("long")
+    inside = Window.partitionBy(*by, "_part").orderBy("_o", "_a", "_b")
+    number = F.floor((F.row_number().over(inside) - 1) / block)
+    blocks = _blocks(rows.withColumn("_part", F.coalesce(part, F.lit(-1).cast("long"))).withColumn("_block", F.col("_part") * (1 << 40) + number), by)
+    step = lambda acc, r: F.struct((acc["a"] * r["a"]).alias("a"), (acc["b"] * r["a"] + r["b"]).alias("b"))
+    whole = blocks.select(*by, F.col("_block").alias("_o"), F.aggregate("_s", F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")), step).alias("_w")).select(*by, "_o", F.col("_w.a").alias("_a"), F.col("_w.b").alias("_b"))
+    after = _ends(whole, by, start, block)
+    entering = after.select(*(F.col(b).alias(f"_k{i}") for i, b in enumerate(by)), F.col("_o").alias("_at"), F.lag("_x", 1, float(start)).over(Window.partitionBy(*by).orderBy("_o")).alias("_x0"))
+    on = F.col("_block") == F.col("_at")
+    for i, b in enumerate(by):
+        on = on & F.col(b).eqNullSafe(F.col(f"_k{i}"))
+    return _folded(blocks.join(entering, on), by)
+
+
+def _blocks(rows: DataFrame, by: list[str]) -> DataFrame:
+    """One row a block with its steps in order, at most a block's rows."""
+    return rows.groupBy(*by, "_block").agg(F.array_sort(F.collect_list(F.struct(F.col("_o").alias("o"), F.col("_a").alias("a"), F.col("_b").alias("b")))).alias("_s"))
+
+
+def _folded(blocks: DataFrame, by: list[str]) -> DataFrame:
+    """The steps of each block run from the value that enters it."""
+    kind = blocks.schema["_s"].dataType.elementType["o"].dataType.simpleString()
+    reached = F.aggregate(
+        "_s",
+        F.struct(F.col("_x0").alias("x"), F.array().cast(f"array<struct<o:{kind},x:double>>").alias("out")),
+        lambda acc, r: F.struct((acc["x"] * r["a"] + r["b"]).alias("x"), F.concat(acc["out"], F.array(F.struct(r["o"].alias("o"), (acc["x"] * r["a"] + r["b"]).alias("x")))).alias("out")),
+        lambda acc: acc["out"],
+    )
+    return blocks.select(*by, F.explode(reached).alias("_e")).select(*by, F.col("_e.o").alias("_o"), F.col("_e.x").alias("_x"))

@@ -254,6 +254,28 @@ def test_ranks(spark):
         assert r["s"] == total
 
 
+def test_recurrences_in_blocks(spark):
+    rows = [(k, i, 0.5 + (i * 7 % 5) / 4, float(i % 3) - 1) for k, n in (("hot", 700), ("one", 1), (None, 20)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, i long, a double, b double")
+    expect, now = {}, {}
+    for k, i, a, b in rows:
+        now[k] = a * now.get(k, 2.0) + b
+        expect[k, i] = now[k]
+    for block in (1000, 30):
+        out = {(r["k"], r["i"]): r["x"] for r in ranking.recurrence(df, ["k"], "i", 2.0, "a", "b", "x", block).collect()}
+        assert out.keys() == expect.keys() and all(out[x] == pytest.approx(v, rel=1e-9) for x, v in expect.items())
+    assert ranking.recurrence(df.filter("false"), ["k"], "i", 2.0, "a", "b", "x").count() == 0
+
+
+def test_approximate_lookup_of_frequent_values(spark):
+    table = spark.createDataFrame([(float(k), f"v{k}") for k in range(0, 100, 7)] + [(None, "none")], "key double, v string")
+    df = spark.createDataFrame([(i, None if i % 50 == 0 else -1.0 if i % 50 == 1 else 30.0 if i % 3 else i / 4) for i in range(400)], "i int, x double")
+    for ranges in (4, 1024):
+        for r in lookups.approximate(df, "x", table, "key", "v", ranges=ranges).collect():
+            low = r["x"] is None or r["x"] < 0
+            assert (r["v"], r["err"]) == ((None, "#N/A") if low else (f"v{min(int(r['x'] // 7) * 7, 98)}", None))
+
+
 def test_blocks(spark):
     df = spark.createDataFrame([("key1", 1.0, 2.0, 0), ("key2", 8.0, 4.0, 1), ("kye4", 5.0, 6.0, 2), ("key3", None, 3.0, 3)], "key string, field1 double, field2 double, ordinal int")
     block = blocks.Block("b", df, "key")
