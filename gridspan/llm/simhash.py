@@ -11,6 +11,7 @@ one vertex. A null id belongs to its fingerprint's component and never names one
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import keep
 
 SEED = 42
+#: Texts of a block, two of which a task compares at a time.
+BLOCK = 32
 BITS = (((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1)).astype(np.int64)
 
 
@@ -130,14 +133,46 @@ def shingles(text: str | None, width: int) -> set[bytes]:
     return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
 
 
+def like_in_blocks(low: int, high: int, slot: int, members: list[tuple], width: int, similarity: float) -> list[tuple[str, str]]:
+    """Links (a, b) between members (h, component, block, segs, text) of blocks low and high that join their components.
+
+    Pairs of one component, or of one block where low and high differ, are passed over, as are pairs whose first common
+    slot is another one: they meet there. Two sets as alike as `similarity` share one of the first shingles of each.
+    """
+    root: dict[str, str] = {}
+
+    def find(c: str) -> str:
+        while (up := root.get(c, c)) != c:
+            root[c] = c = root.get(up, up)
+        return c
+
+    sets = [shingles(m[4], width) for m in members]
+    firsts = [set(sorted(s)[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]) for s in sets]
+    out = []
+    for i, (a, own, head) in enumerate(zip(members, sets, firsts, strict=True)):
+        for j in range(i):
+            b, other = members[j], sets[j]
+            if (low != high and a[2] == b[2]) or min(len(own), len(other)) < similarity * max(len(own), len(other)) or head.isdisjoint(firsts[j]):
+                continue
+            if find(a[1]) == find(b[1]) or next(k for k, (x, y) in enumerate(zip(a[3], b[3], strict=True)) if x == y) != slot:
+                continue
+            both = len(own & other)
+            if both >= similarity * (len(own) + len(other) - both):
+                out.append((a[0], b[0]))
+                root[find(a[1])] = find(b[1])
+    return out
+
+
 def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, slices: int = 16, least: int = 4) -> DataFrame:
     """One document of each group of near copies: those whose shingle sets have a Jaccard similarity of at least `similarity`.
 
     At such a similarity 64-bit SimHashes differ in about ten bits, beyond any small ball; so the fingerprint is made long,
     one segment for each slice of the shingles, and the tables are probed with whole segments. Each text meets the first
-    and the last text of each of its table entries, never all pairs, and every meeting is verified on the whole shingle
-    sets; the first and the last of those that are like neither meet all of the entry in a second round. Of a
-    group the smallest doc_id stays; texts without a word are one group. All columns of docs are returned.
+    and the last text of each of its table entries; the first and the last of those that are like neither, and the member
+    with the most links, meet all of the entry in a second round. What these heads leave in several components is
+    compared in blocks of BLOCK texts, so no two texts that share a segment stay apart unverified. Every meeting is
+    verified on the whole shingle sets. Of a group the smallest doc_id stays; texts without a word are one group. All
+    columns of docs are returned.
     """
     text_id = F.md5(F.coalesce(F.col("text"), F.lit("")))
     doc_type = docs.schema["doc_id"].dataType.simpleString()
@@ -153,12 +188,12 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     # the members of entries with company; texts that share no segment with another are done with here
     members = keep(entries.join(ends, ["slot", "seg"]), "members")
 
-    def against(heads: DataFrame) -> DataFrame:
-        """Pairs of each member of an entry with the entry's heads (low and high)."""
-        each = heads.select("slot", "seg", F.explode(F.array("low", "high")).alias("head"))
+    def against(heads: DataFrame, *which: str) -> DataFrame:
+        """Pairs of each member of an entry with the entry's heads."""
+        each = heads.select("slot", "seg", F.explode(F.array(*which)).alias("head"))
         return members.select("slot", "seg", "h").join(each, ["slot", "seg"]).filter(F.col("h") != F.col("head")).select("h", "head").distinct()
 
-    pairs = keep(against(ends), "pairs")
+    pairs = keep(against(ends, "low", "high"), "pairs")
     involved = pairs.select("h").union(pairs.select("head")).distinct()
     texts = keep(docs.select(text_id.alias("h"), "text").join(involved, "h", "left_semi").groupBy("h").agg(F.max("text").alias("text")), "texts")
 
@@ -180,13 +215,39 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
         return keep(both.select("h", "head", "own", "of_head").mapInArrow(alike, "a string, b string"), "edges")
 
     first_edges = verified(pairs)
-    # members that are like neither head of an entry give its heads of a second round, which all members meet
-    either = first_edges.union(first_edges.select("b", "a")).distinct()
+    # members that are like neither head of an entry give heads of a second round, with the member that has most links
+    either = keep(first_edges.union(first_edges.select("b", "a")).distinct(), "either")
     low, high = (either.select(F.col("a").alias("h"), F.col("b").alias(n), F.lit(True).alias(f"like_{n}")) for n in ("low", "high"))
     unlike = members.filter((F.col("h") != F.col("low")) & (F.col("h") != F.col("high"))).join(low, ["h", "low"], "left").join(high, ["h", "high"], "left").filter("like_low is null and like_high is null")
-    again = unlike.groupBy("slot", "seg").agg(F.min("h").alias("low"), F.max("h").alias("high"))
-    edges = first_edges.union(verified(against(again).join(pairs, ["h", "head"], "left_anti")))
-    groups = components(points.select("h", "label"), edges, "h")
+    again = keep(unlike.groupBy("slot", "seg").agg(F.min("h").alias("low"), F.max("h").alias("high")), "again")
+    linked = either.groupBy(F.col("a").alias("h")).agg(F.count("*").alias("links"))
+    hubs = members.select("slot", "seg", "h").join(again.select("slot", "seg"), ["slot", "seg"], "left_semi").join(linked, "h").groupBy("slot", "seg").agg(F.max(F.struct("links", "h")).alias("hub"))
+    second = again.join(hubs, ["slot", "seg"], "left").select("slot", "seg", "low", "high", F.coalesce("hub.h", "low").alias("hub"))
+    edges = first_edges.union(verified(against(second, "low", "high", "hub").join(pairs, ["h", "head"], "left_anti")))
+    groups = keep(components(points.select("h", "label"), edges, "h"), "groups")
+
+    # entries whose members are still in several components: all pairs across components but the largest one's own
+    own = members.select("slot", "seg", "h").join(groups.select("h", F.col("root").alias("c")), "h")
+    sizes = own.groupBy("slot", "seg", "c").agg(F.count("*").alias("n")).groupBy("slot", "seg").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"))
+    apart = own.join(sizes.filter("n > n_main"), ["slot", "seg"])
+    blocks_of = lambda n: F.ceil(n / BLOCK).cast("int")
+    mains, others = blocks_of(F.col("n_main")), blocks_of(F.col("n") - F.col("n_main"))
+    is_main = F.col("c") == F.col("main")
+    # blocks of the largest component are negative and meet the others only
+    block = F.when(is_main, -1 - F.pmod(F.xxhash64("h"), mains)).otherwise(F.pmod(F.xxhash64("h"), others)).cast("int")
+    meets = F.sequence(F.when(is_main, 0).otherwise(-mains), others - 1)
+    dealt = apart.select("slot", "seg", "h", "c", block.alias("block"), F.explode(meets).alias("other"))
+    dealt = dealt.select("slot", "seg", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "h", "c", "block")
+
+    def compared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        slot, _, low, high = (k.as_py() for k in key)
+        got = like_in_blocks(low, high, slot, list(zip(*(table.column(c).to_pylist() for c in ("h", "c", "block", "segs", "text")), strict=True)), width, similarity)
+        return pa.table({"a": pa.array([a for a, _ in got], pa.string()), "b": pa.array([b for _, b in got], pa.string())})
+
+    filled = dealt.join(points.select("h", "segs"), "h").join(texts, "h")
+    rest = keep(filled.groupBy("slot", "seg", "low", "high").applyInArrow(compared, "a string, b string"), "edges")
+    if not rest.isEmpty():
+        groups = components(points.select("h", "label"), edges.union(rest), "h")
     # of each component the text that holds its smallest id stays, a null only if there is no other; ties go to the smallest text id
     best = F.min(F.struct(F.col("label").isNull().alias("none"), F.col("label").alias("label"), F.col("h").alias("h"))).alias("best")
     first = points.select("h", "label").join(groups, "h").groupBy("root").agg(best).select("best.h", F.col("best.label").alias("first_id"))

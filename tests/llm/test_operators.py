@@ -317,6 +317,44 @@ def test_distinct_documents(spark):
     assert simhash.distinct_documents(empty(spark)).count() == 0
 
 
+def test_copies_of_a_hub(spark):
+    """Hundreds of copies that are like one text and unlike each other are one group."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    hubs = [[word() for _ in range(400)] for _ in range(2)]
+    texts = [" ".join(h) for h in hubs]
+    for hub, n in zip(hubs, (300, 21), strict=True):
+        for _ in range(n):
+            own = list(hub)
+            for at in rng.sample(range(5, 395, 10), 7):
+                own[at] = word()
+            texts.append(" ".join(own))
+    # texts that share passages only, and nothing else
+    passage = [word() for _ in range(60)]
+    texts += [" ".join([*passage, *(word() for _ in range(60))]) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets, roots = [simhash.shingles(t, 5) for t in texts], list(range(len(texts)))
+    likes = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if likes(a, b) and roots[a] != roots[b]:
+            old, new = max(roots[a], roots[b]), min(roots[a], roots[b])
+            roots = [new if r == old else r for r in roots]
+    assert sum(likes(a, b) for a, b in itertools.combinations(range(2, 302), 2)) < 3000
+    got = {r["doc_id"] for r in simhash.distinct_documents(docs).collect()}
+    assert got == set(roots)
+
+
+def test_blocks_link_what_heads_leave():
+    """All pairs across components are compared, whatever blocks they fall into."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base[:99] + [f"x{i}"]) for i in range(6)] + [" ".join(rng.sample(base, 100)) for _ in range(4)]
+    rows = [(f"h{i}", f"h{i}", i % 2, [1, 7], t) for i, t in enumerate(texts)]
+    joined = simhash.like_in_blocks(0, 1, 0, rows, 5, 0.8)
+    assert len(joined) == 5 and {x for p in joined for x in p} == {f"h{i}" for i in range(6)}
+    assert simhash.like_in_blocks(0, 1, 1, rows, 5, 0.8) == []
+
+
 def test_positive_unlabelled(spark):
     rng = random.Random(8)
     good = [" ".join(rng.choice(EN.split()) for _ in range(rng.randint(30, 80))) + "." for _ in range(300)]
