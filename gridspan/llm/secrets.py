@@ -29,7 +29,7 @@ IDENTIFIER = re.compile(r"""(?<![a-z0-9])(?:user(?:name)?|login|account|client_?
 IDENTIFIER_WORDS = ("user", "login", "account", "clientid", "client_id", "access", "uid", "akia")
 ENDPOINT = re.compile(r"""(?:[a-z][a-z0-9+]{1,15}://[^\s"'<>]{3,200}|(?<![a-z])(?:host|endpoint|server|bucket|region)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:-]{3,100})""", re.ASCII | re.IGNORECASE)
 ENDPOINT_WORDS = ("://", "host", "endpoint", "server", "bucket", "region")
-WEAK = re.compile(r"""(?<![A-Za-z0-9+/_=-])(?:(?:pwd|pass|key|credential|auth)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=!@#%^&*-]{6,64})|([A-Za-z0-9+/_-]{20,128}={0,2}))(?![A-Za-z0-9+/_=-])""", re.ASCII | re.IGNORECASE)
+WEAK = re.compile(r"""(?<![A-Za-z0-9+/_-])(?:(?:[A-Za-z0-9_-]*[_-])?(?:pwd|pass|key|credential|auth)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=!@#%^&*-]{6,}+)|([A-Za-z0-9+/_-]{20,}+={0,2}))(?![A-Za-z0-9+/_=-])""", re.ASCII | re.IGNORECASE)
 #: Bits per character that a bare token needs to look random.
 RANDOM_BITS = 3.5
 
