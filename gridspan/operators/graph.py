@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,32 +23,42 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.checkpoint()
 
 
-def trace(edges: DataFrame, start: DataFrame, most_levels: int = 100) -> DataFrame:
-    """(cell, level) of all that depend on the start cells; edges are (cell, uses). A frontier join for each level."""
+def trace(edges: DataFrame, start: DataFrame, most_levels: int | None = None) -> DataFrame:
+    """(cell, level) of all that depend on the start cells; edges are (cell, uses). A frontier join for each level.
+
+    Runs until nothing new is reached; raises where `most_levels` is given and more levels than that are found.
+    """
     seen = start.select(F.col("cell"), F.lit(0).alias("level"))
     front = seen.select("cell")
-    for level in range(1, most_levels + 1):
+    for level in count(1):
         reached = edges.join(front.withColumnRenamed("cell", "uses"), "uses").select("cell").distinct()
         front = _written(reached.join(seen, "cell", "left_anti"), "front")
         if front.isEmpty():
             break
+        if most_levels is not None and level > most_levels:
+            raise ValueError(f"cells lie more than {most_levels} levels away")
         seen = _written(seen.unionByName(front.select("cell", F.lit(level).alias("level"))), "seen")
     return seen
 
 
-def precedents(edges: DataFrame, start: DataFrame, most_levels: int = 100) -> DataFrame:
+def precedents(edges: DataFrame, start: DataFrame, most_levels: int | None = None) -> DataFrame:
     """(cell, level) of all that the start cells use."""
     return trace(edges.select(F.col("uses").alias("cell"), F.col("cell").alias("uses")), start, most_levels)
 
 
-def levels(edges: DataFrame, cells: DataFrame, most_levels: int = 1000) -> DataFrame:
-    """(cell, level): a cell's level is above those of all cells it uses; cells on or behind a cycle get null."""
+def levels(edges: DataFrame, cells: DataFrame, most_levels: int | None = None) -> DataFrame:
+    """(cell, level): a cell's level is above those of all cells it uses; cells on or behind a cycle get null.
+
+    Runs until no cell is ready; raises where `most_levels` is given and there are more levels than that.
+    """
     left, done = cells.select("cell").distinct(), None
-    for level in range(most_levels):
+    for level in count():
         waiting = edges.join(left.withColumnRenamed("cell", "uses"), "uses", "left_semi").select("cell").distinct()
         ready = _written(left.join(waiting, "cell", "left_anti").withColumn("level", F.lit(level)), "ready")
         if ready.isEmpty():
             break
+        if most_levels is not None and level >= most_levels:
+            raise ValueError(f"there are more than {most_levels} levels")
         done = ready if done is None else done.unionByName(ready)
         left = _written(left.join(ready, "cell", "left_anti"), "left")
     behind = left.withColumn("level", F.lit(None).cast("int"))

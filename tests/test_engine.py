@@ -417,3 +417,15 @@ def test_irr(spark):
     assert flows.filter("g = 1").agg(npv(0.1, F.col("v"), F.col("p"))).first()[0] == pytest.approx(sum(v / 1.1**i for i, v in enumerate((-70000, 12000, 15000, 18000, 21000), 1)))
     dated = spark.createDataFrame([(date(2008, 1, 1), -10000.0), (date(2008, 3, 1), 2750.0), (date(2008, 10, 30), 4250.0), (date(2009, 2, 15), 3250.0), (date(2009, 4, 1), 2750.0)], "d date, v double")
     assert dated.agg(xirr(F.col("v"), F.col("d"))).first()[0] == pytest.approx(0.373362535, abs=1e-6)
+
+
+def test_limits_of_tracing_are_told(spark):
+    """Without a limit cells are followed to the end; a limit that is met raises, and no chain passes for a cycle."""
+    edges = spark.createDataFrame([(i + 1, i) for i in range(4)], "cell long, uses long").coalesce(1)
+    start = spark.createDataFrame([(0,)], "cell long").coalesce(1)
+    cells = spark.createDataFrame([(i,) for i in range(5)], "cell long").coalesce(1)
+    for cut in (lambda: graph.trace(edges, start, 3), lambda: graph.levels(edges, cells, 4)):
+        with pytest.raises(ValueError):
+            cut()
+    assert graph.trace(edges, start, 4).count() == graph.levels(edges, cells, 5).filter("level is not null").count() == 5
+    assert {graph.trace.__defaults__, graph.precedents.__defaults__, graph.levels.__defaults__} == {(None,)}
