@@ -116,6 +116,89 @@ def test_tree_against_sequential_weighting():
     assert (10 ** tree.code(unseen)).sum() == pytest.approx(1, rel=1e-4)
 
 
+def test_pruned_contexts_are_one_leaf():
+    """A tree without some of its deeper contexts equals the recursion in which they share one estimator."""
+    import math
+
+    import numpy as np
+
+    top = {(b"", 97): 7, (b"", 98): 5}
+    deep = {(b"a", 97): 4, (b"a", 98): 1}  # the contexts of the other 3 and 4 were pruned
+    levels = [top, deep]
+    arrays = []
+    for d in range(ctw.DEPTH + 1):
+        pairs = sorted((int.from_bytes(c + bytes([b]), "big"), n) for (c, b), n in (levels[d] if d < 2 else {}).items())
+        arrays.append((np.array([k for k, _ in pairs], np.uint64), np.array([n for _, n in pairs], np.int64)))
+    tree = ctw.Tree(arrays)
+    kt = lambda z, o: math.exp(math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1)) / math.pi
+
+    def chance(context):
+        """Of byte 98 after the context, bit by bit."""
+        out = 1.0
+        for bit in range(8):
+            prefix = 98 >> (8 - bit)
+            count = lambda rows, one: sum(n for (_, b), n in rows.items() if b >> (8 - bit) == prefix and (b >> (7 - bit)) & 1 == one)
+            z, o = count(top, 0), count(top, 1)
+            dz, do = count(deep, 0), count(deep, 1)
+            rz, ro = z - dz, o - do
+            # the deep node is followed by contexts that were all pruned: one leaf with its own counts
+            inner = 0.5 * kt(dz, do) + 0.5 * kt(dz, do)
+            below = inner * kt(rz, ro)
+            onward = 0.5 * below / (0.5 * kt(z, o) + 0.5 * below)
+            here = (o + 0.5) / (z + o + 1)
+            behind = (do + 0.5) / (dz + do + 1) if context == b"a" else (ro + 0.5) / (rz + ro + 1)
+            p = (1 - onward) * here + onward * behind
+            out *= p if (98 >> (7 - bit)) & 1 else 1 - p
+        return out
+
+    for context in (b"a", b"z"):
+        key = np.array([int.from_bytes(b"zzzzz"[: ctw.DEPTH - 1] + context + b"b", "big")], np.uint64)
+        assert tree.code(key)[0] == pytest.approx(math.log10(chance(context)), rel=1e-4)
+
+
+def test_words_are_contexts_of_the_next(spark):
+    """The score is that of the bytes, corrected behind each word by what training saw follow it."""
+    import collections
+    import math
+
+    texts = ["one two three one two four", "one two three", "two two  \nnine", None, "one", "new two three new\tone", "x" * 5000 + " two"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "one two")], "doc_id long, text string")
+    train = "doc_id < 4"
+    got = {r["doc_id"]: r for r in ctw.score(docs, train, max_words=0).collect()}
+    plain = {r["doc_id"]: r for r in ctw.score(docs, train, max_words=1000).collect()}
+    counts, after = collections.Counter(), collections.defaultdict(collections.Counter)
+    ends = collections.Counter()
+    for t in texts[:4]:
+        words = (t or "").split()
+        counts.update(words)
+        for a, b in itertools.pairwise(words):
+            after[a][b] += 1
+        ends.update(t or "")
+    learnt = spark.createDataFrame([(t,) for t in texts[:4]], "text string").mapInArrow(ctw.count_batches, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    tree = ctw.fit(learnt)
+    spaces = {c: ends[c] for c in " \t\n\x0b\x0c\r"} | {"": 4}
+    for i, t in [*enumerate(texts), (None, "one two")]:
+        data = (t or "").encode()
+        logs = tree.logs_of([data])[0]
+        assert plain[i]["score"] == pytest.approx(float(logs.sum()), rel=1e-5)
+        total = float(logs.sum())
+        spans = [m.span() for m in re.finditer(rb"\S+", data)]
+        for (a, b), (c, d) in itertools.pairwise(spans):
+            word, following = data[a:b].decode(), data[c:d].decode()
+            if not counts[word]:
+                continue
+            spelled = float(logs[c : d + 1].sum())
+            ending = (spaces[data[d : d + 1].decode()] + 0.5) / (sum(spaces.values()) + 3.5)
+            alpha = (len(after[word]) + 1) / 2
+            whole = counts[word] + alpha
+            by_word = math.log10(after[word][following] / whole * ending) if after[word][following] else -math.inf
+            ways = [by_word + math.log10(0.5), spelled + math.log10(0.5 * (1 + alpha / whole))]
+            total += max(ways) + math.log10(1 + 10 ** (min(ways) - max(ways))) - spelled
+        assert got[i]["score"] == pytest.approx(total, rel=1e-5), i
+        assert {k: got[i][k] for k in ("n_tokens", "n_known", "train_tokens")} == {k: plain[i][k] for k in ("n_tokens", "n_known", "train_tokens")}
+        assert got[i]["base_score"] == pytest.approx(plain[i]["base_score"], rel=1e-12)
+
+
 def test_ctw_base(spark):
     import math
 
