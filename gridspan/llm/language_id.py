@@ -1,24 +1,25 @@
 """Language identification by word-first backoff.
 
 A word that the training corpus knows is scored by its log frequency in every language. An unseen word falls back to
-its character n-grams, from the longest down: the first length of which any gram is known decides. Word and gram counts
-are exact over all training rows and summed by Spark; the model keeps the most frequent `max_words` words and
-`max_grams` grams, which bounds the broadcast whatever the corpus holds.
+its character n-grams, from the longest down: the first length of which any gram is known decides, by the mean of its
+known grams. Word and gram counts are exact over all training rows and summed by Spark; no word and no gram is left out.
+The `max_words` most frequent words go to every task; the others, known or not, meet their counts in a shuffle, where an
+unseen word is scored once for all texts that hold it.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0. Rows with a null language or a null id train
-nothing. With no training row at all every text is `und`. Ties between languages go to the first in sorted order.
+nothing. With no training row at all every text is `und`. Ties between languages go to the first in sorted order. Rows
+that repeat are predicted each. Columns of docs named `lang_pred` or `score` are replaced.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, floor_for, keep
@@ -34,12 +35,6 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def grams_of(word: str, n: int) -> list[str]:
-    """Character n-grams of a word with its edges marked."""
-    edged = f"^{word}$"
-    return [edged[i : i + n] for i in range(len(edged) - n + 1)]
-
-
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, Counter] = {}
 
@@ -81,59 +76,38 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def _scores(langs: list[str], totals: dict[str, int], distinct: int) -> list[Column]:
+    """One column for each language, s0, s1, ...: the log frequency of a group of (lang, n) rows."""
+    of = lambda lang: F.coalesce(F.sum(F.when(F.col("lang") == F.lit(lang), F.col("n"))), F.lit(0))
+    return [F.log((of(lang) + 0.5) / (totals[lang] + 0.5 * distinct)).alias(f"s{i}") for i, lang in enumerate(langs)]
+
+
 class Backoff:
-    """The bounded model: log frequency vectors of known words and of n-grams."""
+    """What training counted: `words` (word, n, s0, ...) and `grams` (gram, s0, ...) as tables, and the frequent words themselves."""
+
+    def __init__(self, langs: list[str], words: DataFrame, grams: DataFrame, frequent: dict[str, tuple[float, ...]]):
+        self.langs, self.words, self.grams, self.frequent = langs, words, grams, frequent
 
-    def __init__(self, langs: list[str], words: dict[str, tuple[float, ...]], grams: dict[str, tuple[float, ...]]):
-        self.langs, self.words, self.grams = langs, words, grams
+    @property
+    def columns(self) -> list[str]:
+        """The score columns."""
+        return [f"s{i}" for i in range(len(self.langs))]
 
-    def vector(self, word: str) -> tuple[float, ...] | list[float]:
-        """Log scores of one word in every language."""
-        if (found := self.words.get(word)) is not None:
-            return found
+    def backed_off(self, unseen: DataFrame) -> DataFrame:
+        """(word, s0, ...) of words that training does not know, zeros where it knows no gram of them: a join for each length."""
+        edged = F.concat(F.lit("^"), "word", F.lit("$"))
+        out, left = None, keep(unseen.select("word"), "unseen")
         for n in range(LONGEST_GRAM, 0, -1):
-            if known := [v for v in map(self.grams.get, grams_of(word, n)) if v is not None]:
-                return [sum(c) / len(known) for c in zip(*known, strict=True)]
-        return [0.0] * len(self.langs)
-
-
-class Scorer(dict):
-    """Rows of a matrix by word; unseen words are scored once and forgotten when too many."""
-
-    def __init__(self, model: Backoff):
-        super().__init__()
-        self.model, self.matrix = model, np.zeros((4096, len(model.langs)), np.float32)
-
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at == len(self.matrix):
-            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-        self.matrix[at] = self.model.vector(word)
-        self[word] = at
-        return at
-
-    def score(self, text: str | None) -> tuple[str, float]:
-        """The best language and its posterior, tempered by length."""
-        words = words_of(text) if text else []
-        if not words or not self.model.langs:
-            return "und", 0.0
-        if len(self) > FLUSH:
-            self.clear()
-        at = list(map(self.__getitem__, words))
-        total = self.matrix[at].sum(axis=0, dtype=np.float64) / max(1.0, len(words) / 20)
-        total = np.exp(total - total.max())
-        best = int(total.argmax())
-        return self.model.langs[best], float(min(1.0, total[best] / total.sum()))
-
-
-def _vectors(rows: DataFrame, key: str, most: int, langs: list[str], totals: dict[str, int], distinct: int) -> dict[str, tuple[float, ...]]:
-    by_key = rows.groupBy(key).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    floor = floor_for(rows.groupBy(key).agg(F.sum("n").alias("total")), "total", most)
-    sizes = [(x, totals[x] + 0.5 * distinct) for x in langs]
-    return {r[key]: tuple(math.log((r["by"].get(x, 0) + 0.5) / size) for x, size in sizes) for r in by_key.filter(F.col("total") >= max(2, floor)).select(key, "by").collect()}
-
-
-def fit(labelled: DataFrame, max_words: int = 60_000, max_grams: int = 60_000) -> Backoff:
+            grams = left.filter(F.length(edged) >= n).select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length(edged) - n + 1), lambda i: F.substring(edged, i, F.lit(n)))).alias("gram"))
+            got = keep(grams.join(self.grams, "gram").groupBy("word").agg(*(F.avg(c).alias(c) for c in self.columns)), f"grams{n}")
+            out = got if out is None else out.unionByName(got)
+            left = keep(left.join(got, "word", "left_anti"), "unseen")
+            if left.isEmpty():
+                return out
+        return out.unionByName(left.select("word", *(F.lit(0.0).alias(c) for c in self.columns)))
+
+
+def fit(labelled: DataFrame, max_words: int = 60_000) -> Backoff:
     """Learn from columns `lang` and `text`; null languages and texts are left out."""
     rows = labelled.select("lang", "text").dropna()
     lexicon = keep(rows.mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lexicon")
@@ -143,24 +117,76 @@ def fit(labelled: DataFrame, max_words: int = 60_000, max_grams: int = 60_000) -
         got = df.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
         stats[name] = {r["lang"]: r["n"] for r in got}, max([r["v"] for r in got], default=1)
     langs = sorted(stats["words"][0])
-    return Backoff(langs, _vectors(lexicon, "word", max_words, langs, *stats["words"]), _vectors(grams, "gram", max_grams, langs, *stats["grams"]))
+    if not langs:
+        return Backoff([], lexicon, grams, {})
+    words = keep(lexicon.groupBy("word").agg(F.sum("n").alias("n"), *_scores(langs, *stats["words"])), "words")
+    table = words.filter(F.col("n") >= floor_for(words, "n", max_words)).drop("n").toArrow()
+    frequent = dict(zip(table.column(0).to_pylist(), zip(*(c.to_pylist() for c in table.columns[1:]), strict=True), strict=True))
+    return Backoff(langs, words, grams.groupBy("gram").agg(*_scores(langs, *stats["grams"])), frequent)
+
+
+def predictions(docs: DataFrame, model: Backoff, carry: list[str]) -> DataFrame:
+    """The columns `carry` of docs, then `lang_pred` and `score`, one row for each row of docs in no order."""
+    if not model.langs:
+        return docs.select(*carry, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    shipped = docs.sparkSession.sparkContext.broadcast(model.frequent)
+    width = len(model.langs)
+    kept = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(carry))).schema
+    names = ["rid", "word", "k", "words", "sums", *kept.names]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        at = {w: i for i, w in enumerate(shipped.value)}
+        matrix = np.array([*shipped.value.values()], float).reshape(-1, width)
+        place = at.get
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                out: list[list] = [[] for _ in kinds]
+                own: list[int | None] = []
+                for i, (rid, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1), strict=True)):
+                    words = words_of(text.as_py() or "")
+                    places = [place(w) for w in words]
+                    rare = Counter([w for w, x in zip(words, places, strict=True) if x is None])
+                    sums = matrix[[x for x in places if x is not None]].sum(axis=0).tolist()
+                    k = len(rare)
+                    # the row's own record travels with its rare words, under a key that no word can be
+                    for column, values in zip(out, ([rid] * (k + 1), [f"#{rid}", *rare], [None, *rare.values()], [len(words)] + [None] * k, [sums] + [None] * k), strict=True):
+                        column += values
+                    own += [i] + [None] * k
+                own_rows = pa.array(own, pa.int32())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, kinds, strict=True)), *(part.column(2 + j).take(own_rows) for j in range(len(carry)))], names)
+
+    inner = docs.select(F.monotonically_increasing_id().alias("rid"), "text", *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)))
+    fields = "".join(f", {f.name} {f.dataType.simpleString()}" for f in kept)
+    rows = keep(inner.mapInArrow(run, f"rid long, word string, k long, words long, sums array<double>{fields}"), "rare")
+    met = rows.filter(F.col("k").isNotNull())
+    known = model.words.drop("n")
+    unseen = met.select("word").distinct().join(known, "word", "left_anti")
+    scored = met.select("rid", "word", "k").join(known.unionByName(model.backed_off(unseen)), "word")
+    cast = [F.sum(F.col("k") * F.col(c)).alias(c) for c in model.columns]
+    rest = scored.groupBy("rid").agg(*cast)
+    mine = rows.filter(F.col("words").isNotNull()).join(rest, "rid", "left")
+    total = F.array(*((F.col("sums")[i] + F.coalesce(c, F.lit(0.0))) / F.greatest(F.lit(1.0), F.col("words") / 20) for i, c in enumerate(model.columns)))
+    best = F.array_max("total")
+    some = F.col("words") > 0
+    return mine.withColumn("total", total).select(
+        *(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)),
+        F.when(some, F.element_at(F.array(*map(F.lit, model.langs)), F.array_position("total", best).cast("int"))).otherwise("und").alias("lang_pred"),
+        F.when(some, 1 / F.aggregate("total", F.lit(0.0), lambda s, x: s + F.exp(x - best))).otherwise(0.0).alias("score"),
+    )
 
 
 def predict(docs: DataFrame, model: Backoff) -> DataFrame:
     """The columns of docs, then `lang_pred` and `score`; a column of docs with either name is replaced."""
     docs = docs.drop("lang_pred", "score")
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
-
-    def run(batches):
-        scorer = Scorer(shipped.value)
-        for batch in batches:
-            got = [scorer.score(t.as_py()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
-
-    return docs.mapInArrow(run, docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema)
+    names = docs.columns
+    numbered = keep(docs.select(*(F.col(f"`{c}`").alias(f"d{i}") for i, c in enumerate(names)), F.monotonically_increasing_id().alias("row")), "numbered")
+    text = F.col(f"d{names.index('text')}").alias("text")
+    found = predictions(numbered.select("row", text), model, ["row"])
+    return numbered.join(found, "row").select(*(F.col(f"d{i}").alias(c) for i, c in enumerate(names)), "lang_pred", "score")
 
 
 def language_of(docs: DataFrame, fold: int = 5) -> DataFrame:
-    """Predict every row of docs from a model of the rows outside the held-out fold."""
-    return predict(docs, fit(docs.filter(crc_mod("doc_id", fold) != 0)))
+    """Predict every row of docs (doc_id, lang, text) from a model of the rows outside the held-out fold: doc_id, lang_pred, score."""
+    return predictions(docs, fit(docs.filter(crc_mod("doc_id", fold) != 0)), ["doc_id"])

@@ -45,25 +45,71 @@ def labels(spark):
     return spark.createDataFrame([(i, None if i == 3 else int(i > 8), 0) for i in range(30)] + [(None, 1, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
 
 
+def brute_language(train, texts):
+    """(lang, score) of each text from the (lang, text) rows, with plain dictionaries."""
+    import collections
+    import math
+
+    words, grams = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    cut = lambda w, n: [f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)]
+    for lang, text in train:
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            words[lang][w] += 1
+            for n in range(1, 6):
+                grams[lang].update(cut(w, n))
+    langs = sorted(words)
+
+    def logs(table, key):
+        if not any(table[x][key] for x in langs):
+            return None
+        distinct = max(len([1 for n in table[x].values() if n]) for x in langs)
+        return [math.log((table[x][key] + 0.5) / (sum(table[x].values()) + 0.5 * distinct)) for x in langs]
+
+    def of(word):
+        if found := logs(words, word):
+            return found
+        for n in range(5, 0, -1):
+            if known := [v for g in cut(word, n) if (v := logs(grams, g))]:
+                return [sum(c) / len(known) for c in zip(*known)]
+        return [0.0] * len(langs)
+
+    for text in texts:
+        found = re.findall(r"[^\W\d_]+", (text or "").lower())
+        if not found or not langs:
+            yield "und", 0.0
+            continue
+        total = [sum(c) / max(1, len(found) / 20) for c in zip(*map(of, found))]
+        total = [math.exp(x - max(total)) for x in total]
+        yield langs[total.index(max(total))], max(total) / sum(total)
+
+
+@pytest.mark.parametrize("max_words", [0, 3, 1000])
+def test_language_equals_brute_force(spark, max_words):
+    """Known words, whether every task has them or not, unseen words by their grams, words without a known gram."""
+    rng = random.Random(8)
+    train = [("en" if i % 2 else "fr", " ".join(rng.choice((EN if i % 2 else FR).split()) for _ in range(rng.randint(1, 30)))) for i in range(40)] + [("fr", "élève"), ("en", ""), (None, "zzz"), ("fr", None)]
+    texts = [None, "", "123 !", "the house", "houses gardens", "maisons Jardinet élèves", "qqqq xxxx", "ぎぎ", "the ぎぎ houses la", EN * 200, EN, EN, "x" * 5000]
+    model = language_id.fit(spark.createDataFrame(train, "lang string, text string"), max_words)
+    docs = spark.createDataFrame([(i, t, "kept", 3.0) for i, t in enumerate(texts)] + [(None, EN, "kept", None)], "doc_id long, text string, row string, score double")
+    got = {r["doc_id"]: r for r in language_id.predict(docs, model).collect()}
+    assert len(got) == len(texts) + 1 and all(r["row"] == "kept" for r in got.values())
+    expect = brute_language([(a, b) for a, b in train if a and b is not None], [*texts, EN])
+    for i, (lang, score) in zip([*range(len(texts)), None], expect, strict=True):
+        assert (got[i]["lang_pred"], got[i]["score"]) == (lang, pytest.approx(score, rel=1e-9)), i
+
+
 def test_language(spark):
     docs = documents(spark)
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
     rows = language_id.language_of(docs).collect()
     assert len(rows) == docs.count()
     for r in rows:
         assert 0 <= r["score"] <= 1
-        if not re.search(r"[^\W\d_]", r["text"] or ""):
+        if not re.search(r"[^\W\d_]", text[r["doc_id"]] or ""):
             assert (r["lang_pred"], r["score"]) == ("und", 0.0)
-        elif r["text"].startswith(tuple(EN.split())) and len(r["text"]) > 100 and "house" in r["text"]:
-            assert r["lang_pred"] == "en"
     assert language_id.language_of(empty(spark)).count() == 0
-
-
-def test_unseen_words_back_off():
-    model = language_id.Backoff(["en", "fr"], {"the": (0.0, -9.0)}, {"^z": (-1.0, -2.0), "q": (-5.0, -1.0)})
-    assert model.vector("the") == (0.0, -9.0)
-    assert model.vector("zebra") == [-1.0, -2.0]
-    assert model.vector("aq") == [-5.0, -1.0]
-    assert model.vector("xx") == [0.0, 0.0]
+    untaught = language_id.predict(docs, language_id.fit(empty(spark))).collect()
+    assert len(untaught) == len(rows) and {r["lang_pred"] for r in untaught} == {"und"}
 
 
 def test_tree_against_sequential_weighting():
