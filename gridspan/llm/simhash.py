@@ -12,6 +12,7 @@ one vertex. A null id belongs to its fingerprint's component and never names one
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import keep
 
 SEED = 42
+PLAIN = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Texts of a block, two of which a task compares at a time.
 BLOCK = 32
 BITS = (((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1)).astype(np.int64)
@@ -104,22 +106,27 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return prints.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
+def plain_words(text: str | None) -> list[bytes]:
+    """Runs of letters, digits and bytes beyond ASCII, A-Z lower-cased: neither case nor punctuation tells copies apart."""
+    return PLAIN.findall(text.encode("utf-8", "replace").lower()) if text else []
+
+
 def segments(text: str | None, width: int, slices: int, least: int) -> list[int]:
     """One segment for each slice of a text's shingles: a digest of the `least` smallest hashes of the slice.
 
     Shingles fall into slices by their hash, so two texts that share most shingles agree on whole slices; a segment is
-    then equal, not just close. Empty slices give a segment that is the text's own fingerprint.
+    then equal, not just close. Empty slices give a segment that is the digest of all words.
     """
-    words = text.encode("utf-8", "replace").lower().split() if text else []
-    if len(words) <= width:
-        return [fingerprint(text, width)] * slices
-    whole = fingerprint(text, width) % (1 << 64)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.r_[0, ends[: len(words) - width]].tolist()
+    words = plain_words(text)
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
-    hashes = np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], np.uint64))
-    slice_of = hashes % np.uint64(slices)
+    whole = digest(joined, SEED) if words else 0
+    hashes, slice_of = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    if len(words) > width:
+        ends = np.cumsum([len(w) + 1 for w in words])
+        starts = np.r_[0, ends[: len(words) - width]].tolist()
+        hashes = np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], np.uint64))
+        slice_of = hashes % np.uint64(slices)
     out = []
     for i in range(slices):
         own = hashes[slice_of == i][:least]
@@ -129,7 +136,7 @@ def segments(text: str | None, width: int, slices: int, least: int) -> list[int]
 
 def shingles(text: str | None, width: int) -> set[bytes]:
     """The set of word shingles of a text."""
-    words = text.encode("utf-8", "replace").lower().split() if text else []
+    words = plain_words(text)
     return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
 
 
@@ -166,6 +173,8 @@ def like_in_blocks(low: int, high: int, slot: int, members: list[tuple], width:
 def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, slices: int = 16, least: int = 4) -> DataFrame:
     """One document of each group of near copies: those whose shingle sets have a Jaccard similarity of at least `similarity`.
 
+    Shingles are of words without case and punctuation (`plain_words`).
+
     At such a similarity 64-bit SimHashes differ in about ten bits, beyond any small ball; so the fingerprint is made long,
     one segment for each slice of the shingles, and the tables are probed with whole segments. Each text meets the first
     and the last text of each of its table entries; the first and the last of those that are like neither, and the member
@@ -194,8 +203,11 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
         return members.select("slot", "seg", "h").join(each, ["slot", "seg"]).filter(F.col("h") != F.col("head")).select("h", "head").distinct()
 
     pairs = keep(against(ends, "low", "high"), "pairs")
-    involved = pairs.select("h").union(pairs.select("head")).distinct()
-    texts = keep(docs.select(text_id.alias("h"), "text").join(involved, "h", "left_semi").groupBy("h").agg(F.max("text").alias("text")), "texts")
+    involved = points.select("h", "label").join(pairs.select("h").union(pairs.select("head")).distinct(), "h", "left_semi")
+    # one row stands for its text: copies, of which a text may have any number, are dealt by their ids and left behind
+    own = docs.select(text_id.alias("h"), F.col("doc_id").alias("id"), "text")
+    texts = own.join(involved.withColumnRenamed("h", "of"), (F.col("h") == F.col("of")) & F.col("id").eqNullSafe(F.col("label")), "left_semi")
+    texts = keep(texts.groupBy("h").agg(F.max("text").alias("text")), "texts")
 
     def alike(batches: Iterator[pa.RecordBatch]):
         last, shape = None, set()
