@@ -9,7 +9,7 @@ do, and the commit protocol covers lost executors.
 Reading: archives are plain or gzip members of one or more records. A record whose version line, header, length, trailer
 or payload digest fails is not returned; the reader looks for the next version line or member that reads as a whole valid
 record, goes on from there, and reports the bytes between as a quarantined gap with its reason. What a member holds,
-gaps included, is reported at the member's place.
+gaps included, is reported at the member's place; of a damaged member the whole records before the damage.
 
 Edge cases: a null payload is empty, a null url is an empty target, line breaks in a url are percent-encoded. Null ids
 are written without one and read back as null, and are the smallest of no group unless all ids are null. Rows that
@@ -34,7 +34,8 @@ END = "\r\n\r\n"
 #: Rows of revisited ids up to which they are broadcast.
 FEW = 200_000
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
-MAX_HEADER = 1 << 16
+#: Pages of a file by the largest payload that a page of the class may have: no file grows much over 128 MB but for one page.
+CLASSES = [(1 << 16, 2_000), (1 << 20, 125), (None, 1)]
 #: Compressed bytes that a member is read by, so that the rest of the archive is not copied for each of its members.
 STEP = 1 << 15
 VERSION = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
@@ -76,16 +77,25 @@ def record() -> F.Column:
     )
 
 
-def write(pages: DataFrame, path: str, records_a_file: int = 4_000) -> None:
-    """Archive pages (page_id, url, html) under a path, as plain WARC files."""
-    roles(pages).select(record().alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_a_file).text(path)
+def write(pages: DataFrame, path: str) -> None:
+    """Archive pages (page_id, url, html) under a path, as plain WARC files; large pages share a file with few others."""
+    records = roles(pages)
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    low = -1
+    for high, records_a_file in CLASSES:
+        own = F.col("payload_bytes") > low
+        rows = records.filter(own & (F.col("payload_bytes") <= high) if high else own)
+        rows.select(record().alias("value")).write.mode("append").option("lineSep", END).option("maxRecordsPerFile", records_a_file).text(path)
+        if high is None or largest <= high:
+            break
+        low = high
 
 
 def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
     """Header, block and end of the plain record at a place, or why there is none."""
     if data[at : at + 10] not in (b"WARC/1.0\r\n", b"WARC/1.1\r\n"):
         return "no version line"
-    stop = data.find(b"\r\n\r\n", at, at + MAX_HEADER)
+    stop = data.find(b"\r\n\r\n", at)
     if stop < 0:
         return "no header end"
     header: dict[str, str] = {}
@@ -112,24 +122,37 @@ def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
 Found = tuple[str | None, dict[str, str] | None, bytes | None]
 
 
-def _member(data: bytes, at: int) -> tuple[list[Found], int] | str:
-    """What the gzip member at a place holds and its end, or why it holds no record."""
-    member, plain, fed = zlib.decompressobj(31), bytearray(), at
-    try:
-        while not member.eof and fed < len(data):
+def _member(data: bytes, at: int) -> tuple[list[Found], int | None] | str:
+    """What the gzip member at a place holds and its end, or why it holds no record.
+
+    Of a broken or cut member the whole records before the damage are held, then the reason; its end is not known.
+    """
+    member, plain, fed, reason = zlib.decompressobj(31), bytearray(), at, None
+    while not member.eof and fed < len(data):
+        before = member.copy()
+        try:
             plain += member.decompress(data[fed : fed + STEP])
-            fed = min(fed + STEP, len(data))
-    except zlib.error:
-        return "broken gzip member"
-    if not member.eof:
-        return "cut gzip member"
+        except zlib.error:
+            reason = "broken gzip member"
+            try:  # what the step gives up to the damage
+                for i in range(fed, fed + STEP, 64):
+                    plain += before.decompress(data[i : i + 64])
+            except zlib.error:
+                pass
+            break
+        fed = min(fed + STEP, len(data))
+    if reason is None and not member.eof:
+        reason = "cut gzip member"
     inner = [x[2:] for x in salvage(bytes(plain), nested=True)]
-    if all(reason for reason, *_ in inner):
+    if reason:
+        whole = [x for x in inner if x[0] is None]
+        return (whole, None) if whole else reason
+    if all(why for why, *_ in inner):
         return inner[0][0] if inner else "empty gzip member"
     return inner, fed - len(member.unused_data)
 
 
-def _at(data: bytes, at: int, nested: bool = False) -> tuple[list[Found], int] | str:
+def _at(data: bytes, at: int, nested: bool = False) -> tuple[list[Found], int | None] | str:
     """What a plain record or a gzip member holds and its end, or why there is neither."""
     if data[at : at + 2] == b"\x1f\x8b" and not nested:
         return _member(data, at)
@@ -142,19 +165,14 @@ def salvage(data: bytes, nested: bool = False) -> Iterator[tuple[int, int, str |
     at = 0
     while at < len(data):
         got = _at(data, at, nested)
-        if isinstance(got, str):
-            start = at
-            for m in VERSION.finditer(data, at + 1):
-                if not isinstance(_at(data, m.start(), nested), str):
-                    at = m.start()
-                    break
-            else:
-                at = len(data)
-            yield start, at - start, got, None, None
-        else:
-            for found in got[0]:
-                yield at, got[1] - at, *found
-            at = got[1]
+        found, end = ([], None) if isinstance(got, str) else got
+        start, at = at, end
+        if end is None:
+            at = next((m.start() for m in VERSION.finditer(data, start + 1) if not isinstance(_at(data, m.start(), nested), str)), len(data))
+        for one in found:
+            yield start, at - start, *one
+        if end is None:
+            yield start, at - start, got if isinstance(got, str) else "damaged gzip member", None, None
 
 
 FIELDS = "path string, offset long, length long, gap string, page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary"
@@ -200,9 +218,10 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write the pages to the shared folder and read their records back, ids in their own type."""
+    """Write the pages to the shared folder and read their records back, ids in their own type. Fails where bytes are unreadable."""
     path = fresh_path(pages.sparkSession, "archive")
     write(pages.select("page_id", "url", "html"), path)
     kind = pages.schema["page_id"].dataType
-    found = read(pages.sparkSession, path, payloads=False).filter(F.col("gap").isNull())
+    lost = F.raise_error(F.concat(F.lit("unreadable bytes in "), "path", F.lit(": "), "gap")).cast("boolean")
+    found = read(pages.sparkSession, path, payloads=False).filter(F.when(F.col("gap").isNull(), True).otherwise(lost))
     return found.select(F.col("page_id").cast(kind).alias("page_id"), "url", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

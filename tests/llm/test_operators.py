@@ -565,6 +565,16 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.filter("false")).count() == 0
 
 
+def test_long_headers_and_large_pages(spark, tmp_path, monkeypatch):
+    """A header of any length is read; pages of each class of size are archived once."""
+    monkeypatch.setattr(warc, "CLASSES", [(10, 2), (1000, 2), (None, 1)])
+    rows = [(i, "http://" + "x" * (100_000 if i == 3 else 5), "y" * size) for i, size in enumerate([5, 5, 10, 11, 500, 1000, 1001, 5000, 5000, 0])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = warc.round_trip(pages).collect()
+    assert sorted((r["page_id"], r["url"], r["payload_bytes"]) for r in out) == [(i, u, len(h)) for i, u, h in rows]
+    assert [(r["page_id"], r["refers_to"]) for r in out if r["record_type"] == "revisit"] == [(8, 7)]
+
+
 def one_record(i, payload=b"payload"):
     block = b"HTTP/1.1 200 OK\r\n\r\n" + payload
     return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nWARC-Payload-Digest: sha256:%s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, hashlib.sha256(payload).hexdigest().encode(), len(block), block)
@@ -584,3 +594,15 @@ def test_salvage(pack):
     gaps = [(a, n) for a, n, reason, h, _ in out if reason]
     assert gaps[0] == (0, 4) and gaps[1] == (4 + start, len(parts[2])) and len(gaps) == 3
     assert sum(n for _, n, *_ in out) == len(damaged)
+
+
+def test_records_before_the_damage_of_a_member():
+    rng = random.Random(4)
+    body = lambda i: bytes(rng.choice(b"abcdefgh ") for _ in range(40_000))
+    member = bytearray(gzip.compress(b"".join(one_record(i, body(i)) for i in range(8))))
+    for damaged in (bytes(member[: len(member) * 3 // 4]), bytes(member[: len(member) // 2]) + bytes(64) + bytes(member[len(member) // 2 + 64 :])):
+        out = list(warc.salvage(damaged + gzip.compress(one_record(9))))
+        ids = [int(h["warc-record-id"][10:-1]) for *_, h, _ in out if h]
+        assert ids[-1] == 9 and ids[:-1] == list(range(len(ids) - 1)) and 3 <= len(ids) - 1 <= 6
+        gaps = [(a, n) for a, n, reason, *_ in out if reason]
+        assert gaps == [(0, len(damaged))]
