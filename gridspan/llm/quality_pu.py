@@ -4,7 +4,8 @@ Trusted positives are the rows labelled 1, the unlabelled web text is every row
 prior is estimated from the labels. The classifier minimises the non-negative unbiased risk
 pi E_p[l(f, 1)] + max(0, E_u[l(f, 0)] - pi E_p[l(f, 0)]) with the logistic loss over text statistics: convex in the
 weights, so Newton steps take the sums of gradient and curvature that Spark adds up over all rows. A step that would take
-the second term below zero is halved, and learning ends there.
+the second term below zero is halved. Several step sizes are tried in one pass over the rows, so learning takes at most
+`rounds` + 1 passes.
 
 Edge cases: null and empty texts have the statistics of an empty text and a score like any other. Null labels and ids
 teach nothing. A document with several labels is positive if any is 1. Without positives the score is the prior.
@@ -28,6 +29,8 @@ UPPER = re.compile(r"[A-Z]")
 DIGIT = re.compile(r"[0-9]")
 MARK = re.compile(r"[!?|]")
 N_PLAIN = 13
+#: Step sizes that one pass tries, the first that will do is taken.
+SIZES = [1.0, 0.5, 0.25, 2.0**-4, 2.0**-7, 2.0**-11]
 
 
 def features(text: str | None) -> list[float]:
@@ -70,30 +73,31 @@ def table_of(docs: DataFrame, labels: DataFrame, fold: int) -> DataFrame:
     return keep(rows.join(marks, "doc_id", "left").select("doc_id", "x", F.coalesce(crc_mod("doc_id", fold) != 0, F.lit(False)).alias("learn"), "q"), "quality")
 
 
-def _sums(table: DataFrame, weights: np.ndarray) -> dict[str, np.ndarray]:
-    """Over all rows that teach: counts, losses, gradient and curvature at the weights. Spark adds the tasks' sums."""
+def _sums(table: DataFrame, tried: list[np.ndarray]) -> list[dict[str, np.ndarray]]:
+    """For each of the tried weights, over all rows that teach: counts, losses, gradient and curvature. Spark adds the tasks' sums."""
+    d = len(tried[0])
+    width = 5 + 2 * d + d * d
 
     def run(batches: Iterator[pa.RecordBatch]):
-        d = len(weights)
-        total = np.zeros(5 + 2 * d + d * d)
+        total = np.zeros((len(tried), width))
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, d)
             p = np.array(batch.column(1).fill_null(-1)) == 1
-            f = np.clip(x @ weights, -30, 30)
-            s, loss = 1 / (1 + np.exp(-f)), np.logaddexp(0, f)
-            total[:5] += [len(f), p.sum(), loss.sum(), loss[p].sum(), f[p].sum()]
-            total[5 : 5 + d] += s @ x
-            total[5 + d : 5 + 2 * d] += x[p].sum(axis=0)
-            total[5 + 2 * d :] += ((x * (s * (1 - s))[:, None]).T @ x).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["i", "v"])
-
-    d = len(weights)
-    got = np.zeros(5 + 2 * d + d * d)
+            for own, weights in zip(total, tried, strict=True):
+                f = np.clip(x @ weights, -30, 30)
+                s, loss = 1 / (1 + np.exp(-f)), np.logaddexp(0, f)
+                own[:5] += [len(f), p.sum(), loss.sum(), loss[p].sum(), f[p].sum()]
+                own[5 : 5 + d] += s @ x
+                own[5 + d : 5 + 2 * d] += x[p].sum(axis=0)
+                own[5 + 2 * d :] += ((x * (s * (1 - s))[:, None]).T @ x).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(range(total.size), pa.int32()), pa.array(total.ravel())], ["i", "v"])
+
+    flat = np.zeros(len(tried) * width)
     for r in table.filter("learn").select("x", F.col("q").cast("int").alias("q")).mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
-        got[r["i"]] = r["v"]
-    return {"n": got[0], "p": got[1], "loss": got[2], "loss_p": got[3], "f_p": got[4], "grad": got[5 : 5 + d], "x_p": got[5 + d : 5 + 2 * d], "hess": got[5 + 2 * d :].reshape(d, d)}
+        flat[r["i"]] = r["v"]
+    return [{"n": got[0], "p": got[1], "loss": got[2], "loss_p": got[3], "f_p": got[4], "grad": got[5 : 5 + d], "x_p": got[5 + d : 5 + 2 * d], "hess": got[5 + 2 * d :].reshape(d, d)} for got in flat.reshape(len(tried), width)]
 
 
 def fit(table: DataFrame, prior: float, rounds: int = 12, shrink: float = 1e-4) -> np.ndarray:
@@ -101,7 +105,7 @@ def fit(table: DataFrame, prior: float, rounds: int = 12, shrink: float = 1e-4)
     d = 1 + 2 * N_PLAIN
     weights = np.zeros(d)
     weights[0] = math.log(prior / (1 - prior))
-    now = _sums(table, weights)
+    (now,) = _sums(table, [weights])
     if not now["p"]:
         return weights
     ridge = np.full(d, shrink)
@@ -110,14 +114,12 @@ def fit(table: DataFrame, prior: float, rounds: int = 12, shrink: float = 1e-4)
     for _ in range(rounds):
         grad = now["grad"] / now["n"] - prior * now["x_p"] / now["p"] + ridge * weights
         step = np.linalg.solve(now["hess"] / now["n"] + np.diag(ridge + 1e-9), grad)
-        before, size = risk(now, weights)[0], 1.0
-        for _ in range(12):
-            after = weights - size * step
-            then = _sums(table, after)
+        before = risk(now, weights)[0]
+        tried = [weights - size * step for size in SIZES]
+        for after, then in zip(tried, _sums(table, tried), strict=True):
             value, negative = risk(then, after)
             if value <= before and negative >= 0:
                 break
-            size /= 2
         else:
             break
         weights, now = after, then
