@@ -2,9 +2,9 @@
 
 Base patterns give spans that always stay. Wider patterns propose further candidates; regex, checksum, gazetteer and
 context labelers vote yes, no or abstain on every candidate and base span. Spark counts the vote patterns over all
-documents (at most 4 kinds x 3^5 patterns); expectation-maximisation over these counts estimates the reliability of each
-labeler, and a logistic classifier of the votes is fitted to the resulting posteriors. Its weights go into one Column
-expression that scores each candidate.
+documents (at most 4 kinds x 3^5 patterns); expectation-maximisation over these counts, in which base spans are known to
+be real, estimates the reliability of each labeler for each kind, and a logistic classifier of the votes is fitted to the
+resulting posteriors. Its weights go into one Column expression that scores each candidate.
 
 Edge cases: null and empty texts have no span. Rows that repeat are each reported. With no candidate anywhere the
 estimates are the priors and nothing is added. Candidates that overlap a base span, or an earlier candidate, are dropped.
@@ -46,6 +46,8 @@ CUES = {
 AGAINST = r"(?i)(?:version|\bv\.?|isbn|issn|order|invoice|\bref|serial|page|\bfig|\bno\.?|[$€£#])\W{0,3}$"
 # Gazetteers: top-level domains, first digits of issuers, area code shapes.
 DOMAINS = r"(?i)(?:\.|\(dot\)|\[dot\]|\{dot\})\x20?(?:com|org|net|edu|gov|io|info|biz|de|fr|es|it|eu|uk|us|ca|mx|ch|at|be|nl)$"
+# Address blocks that hosts have, of both versions.
+BLOCKS = r"(?i)^(?:0*(?:[1-9]|[1-9][0-9]|1[0-9][0-9]|2[01][0-9]|22[0-3])\.|(?:2[0-9a-f]{3}|3[0-9a-f]{3}|f[cd][0-9a-f]{2}|fe80):)"
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[4-7]|6)"
 AREAS = r"^\(?(?:[2-9][0-9]{2}|0[0-9]{1,3})\)?[\x20.-]"
 LABELERS = ["strict", "check", "gazetteer", "context", "against"]
@@ -74,8 +76,14 @@ def _votes(kind: str, x: Column, base: bool) -> Column:
     """1 for, 0 against, -1 no opinion, one for each labeler."""
     m, no = x["match"], F.lit(-1)
     n = F.length(_digits(m))
-    check = {"email": no, "ip": F.when(m.rlike(r"^0+[.:]"), 0).otherwise(-1), "card": F.when(n.between(13, 19) & luhn(_digits(m)), 1).otherwise(0), "phone": F.when(n.between(8, 15), 1).otherwise(0)}
-    names = {"email": F.when(m.rlike(DOMAINS), 1).otherwise(0), "ip": no, "card": F.when(m.rlike(ISSUERS), 1).otherwise(0), "phone": F.when(m.rlike(r"^\+"), 1).when(m.rlike(AREAS), 1).otherwise(0)}
+    parts = F.split(m, r"\.|\x20?[(\[{](?i:dot)[)\]}]\x20?")
+    check = {
+        "email": F.when((F.size(parts) >= 2) & F.element_at(parts, -1).rlike("^[A-Za-z]{2,}$"), 1).otherwise(0),
+        "ip": F.when(m.rlike(r"^0+[.:]") | m.rlike(r"(?i)^([0-9a-f]+)(?:[.:]\1)+$"), 0).otherwise(1),
+        "card": F.when(n.between(13, 19) & luhn(_digits(m)), 1).otherwise(0),
+        "phone": F.when(n.between(8, 15) & ~_digits(m).rlike(r"^([0-9])\1+$"), 1).otherwise(0),
+    }
+    names = {"email": F.when(m.rlike(DOMAINS), 1).otherwise(0), "ip": F.when(m.rlike(BLOCKS), 1).otherwise(0), "card": F.when(m.rlike(ISSUERS), 1).otherwise(0), "phone": F.when(m.rlike(r"^\+"), 1).when(m.rlike(AREAS), 1).otherwise(0)}
     return F.array(
         F.lit(1 if base else -1),
         check[kind],
@@ -108,57 +116,70 @@ def candidates(docs: DataFrame, carry: list[str]) -> DataFrame:
 
 
 class Reliability:
-    """What expectation-maximisation and the classifier learnt: weights by kind and vote."""
+    """What expectation-maximisation and the classifier learnt, each by kind: reliabilities of the labelers, bias and weights of their votes."""
+
+    #: Chances of a vote of 1, -1, 0 before anything is counted, for real and for other candidates, and how many candidates they weigh.
+    FIRST, STRENGTH, PRIOR = ({1: 0.6, -1: 0.35, 0: 0.05}, {1: 0.15, -1: 0.35, 0: 0.5}), 20.0, 0.3
 
     def __init__(self, counts: dict[tuple[int, tuple[int, ...]], int], rounds: int = 40):
-        self.chances = [[{1: 0.6, -1: 0.35, 0: 0.05}, {1: 0.15, -1: 0.35, 0: 0.5}] for _ in LABELERS]
-        prior = dict.fromkeys(range(len(KINDS)), 0.3)
-        strength = 20.0
-        first = [[dict(d) for d in both] for both in self.chances]
-        belief: dict = {}
-        for _ in range(rounds if counts else 0):
-            for (kind, votes), _n in counts.items():
-                odds = [1 - prior[kind], prior[kind]]
-                for j, v in enumerate(votes):
-                    odds = [odds[0] * self.chances[j][1][v], odds[1] * self.chances[j][0][v]]
-                belief[kind, votes] = odds[1] / (odds[0] + odds[1])
-            for kind in prior:
-                own = [(n, belief[k, v]) for (k, v), n in counts.items() if k == kind]
-                prior[kind] = (0.3 * strength + sum(n * p for n, p in own)) / (strength + sum(n for n, _ in own))
-            for j in range(len(LABELERS)):
+        self.belief: dict = {}
+        self.chances = {k: [[dict(d) for d in self.FIRST] for _ in LABELERS] for k in range(len(KINDS))}
+        self.bias, self.weights = [], []
+        for kind in range(len(KINDS)):
+            own = {votes: n for (k, votes), n in counts.items() if k == kind}
+            self._reliabilities(kind, own, rounds)
+            bias, weights = self._classifier({v: (n, self.belief[kind, v]) for v, n in own.items()})
+            self.bias.append(bias)
+            self.weights.append(weights)
+
+    def _reliabilities(self, kind: int, own: dict[tuple[int, ...], int], rounds: int) -> None:
+        """Beliefs of the vote patterns of one kind. Base spans are real; they anchor which side of the mixture is which."""
+        chances, prior = self.chances[kind], self.PRIOR
+        for _ in range(rounds if own else 0):
+            for votes in own:
+                odds = [1 - prior, prior]
+                for both, v in zip(chances[1:], votes[1:], strict=True):
+                    odds = [odds[0] * both[1][v], odds[1] * both[0][v]]
+                self.belief[kind, votes] = 1.0 if votes[0] == 1 else odds[1] / (odds[0] + odds[1])
+            loose = [(n, self.belief[kind, v]) for v, n in own.items() if v[0] != 1]
+            prior = (self.PRIOR * self.STRENGTH + sum(n * p for n, p in loose)) / (self.STRENGTH + sum(n for n, _ in loose))
+            for j, both in enumerate(chances):
                 for side in (0, 1):  # 0: real, 1: not
-                    mass = {v: strength * first[j][side][v] for v in (1, 0, -1)}
-                    for (k, votes), n in counts.items():
-                        mass[votes[j]] += n * (belief[k, votes] if side == 0 else 1 - belief[k, votes])
-                    self.chances[j][side] = {v: m / sum(mass.values()) for v, m in mass.items()}
-        self.belief = belief
-        self.bias, self.weights = self._classifier(counts, belief)
+                    mass = {v: self.STRENGTH * self.FIRST[side][v] for v in (1, 0, -1)}
+                    for votes, n in own.items():
+                        p = self.belief[kind, votes]
+                        mass[votes[j]] += n * (p if side == 0 else 1 - p)
+                    both[side] = {v: m / sum(mass.values()) for v, m in mass.items()}
 
     @staticmethod
-    def _classifier(counts, belief, steps: int = 400, rate: float = 0.5, shrink: float = 1e-3):
+    def _classifier(patterns: dict[tuple[int, ...], tuple[int, float]], steps: int = 600, rate: float = 0.5, shrink: float = 1e-3) -> tuple[float, dict[tuple[int, int], float]]:
         """Logistic regression of the posterior on the votes, all labelers but the base pattern itself; started at fair votes."""
-        bias = [-1.5] * len(KINDS)
-        weights = {(j, v): (1.2 if v else -1.2) for j in range(1, len(LABELERS)) for v in (0, 1)}
-        start = dict(weights)
-        data = [(k, [(j, v) for j, v in enumerate(votes) if j and v >= 0], belief[k, votes], math.log1p(n)) for (k, votes), n in counts.items()]
+        start = {(j, v): (1.2 if v else -1.2) for j in range(1, len(LABELERS)) for v in (0, 1)}
+        bias, weights = -1.5, dict(start)
+        data = [([(j, v) for j, v in enumerate(votes) if j and v >= 0], p, math.log1p(n)) for votes, (n, p) in patterns.items()]
         total = sum(w for *_, w in data) or 1.0
         for _ in range(steps if data else 0):
-            grad_b, grad = [0.0] * len(KINDS), {w: shrink * (weights[w] - start[w]) for w in weights}
-            for k, on, p, w in data:
-                error = (1 / (1 + math.exp(-(bias[k] + sum(weights[x] for x in on)))) - p) * w / total
-                grad_b[k] += error
+            grad_b, grad = 0.0, {x: shrink * (weights[x] - start[x]) for x in weights}
+            for on, p, w in data:
+                error = (1 / (1 + math.exp(-(bias + sum(weights[x] for x in on)))) - p) * w / total
+                grad_b += error
                 for x in on:
                     grad[x] += error
-            bias = [min(-0.5, b - rate * g) for b, g in zip(bias, grad_b, strict=True)]  # a candidate needs a vote
+            bias = min(-0.5, bias - rate * grad_b)  # a candidate needs a vote
             weights = {x: w - rate * grad[x] for x, w in weights.items()}
         return bias, weights
 
+    def chance(self, kind: int, votes: tuple[int, ...]) -> float:
+        """The classifier's probability for one vote pattern."""
+        return 1 / (1 + math.exp(-(self.bias[kind] + sum(self.weights[kind][j, v] for j, v in enumerate(votes) if j and v >= 0))))
+
     def score(self, x: Column) -> Column:
         """Probability that a candidate is personal data, as a Column."""
         total = F.element_at(F.array(*map(F.lit, self.bias)), x["kind"] + 1)
         for j in range(1, len(LABELERS)):
             vote = F.element_at(x["votes"], j + 1)
-            total = total + F.when(vote == 1, self.weights[j, 1]).when(vote == 0, self.weights[j, 0]).otherwise(0.0)
+            of = lambda v: F.element_at(F.array(*(F.lit(w[j, v]) for w in self.weights)), x["kind"] + 1)  # noqa: E731, B023
+            total = total + F.when(vote == 1, of(1)).when(vote == 0, of(0)).otherwise(0.0)
         return 1 / (1 + F.exp(-total))
 
 
