@@ -202,7 +202,7 @@ def test_pruned_contexts_are_one_leaf():
         assert tree.code(key)[0] == pytest.approx(math.log10(chance(context)), rel=1e-4)
 
 
-def test_words_are_contexts_of_the_next(spark):
+def test_words_are_contexts_of_the_next(spark, monkeypatch):
     """The score is that of the bytes, corrected behind each word by what training saw follow it."""
     import collections
     import math
@@ -211,6 +211,11 @@ def test_words_are_contexts_of_the_next(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "one two")], "doc_id long, text string")
     train = "doc_id < 4"
     got = {r["doc_id"]: r for r in ctw.score(docs, train, max_words=0).collect()}
+    plain = {r["doc_id"]: r for r in ctw.score(docs, "false", max_words=1000).collect()}
+    assert all(r["n_known"] == 0 == r["train_tokens"] for r in plain.values())
+    monkeypatch.setattr(ctw, "COMMON", 0)
+    plain = {r["doc_id"]: r for r in ctw.score(docs, "true", max_words=1000).collect()}
+    assert all(r["n_known"] == r["n_tokens"] for r in plain.values())
     plain = {r["doc_id"]: r for r in ctw.score(docs, train, max_words=1000).collect()}
     counts, after = collections.Counter(), collections.defaultdict(collections.Counter)
     ends = collections.Counter()
