@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridspan.functions.core import COMPAT
 
 COMPARISON = re.compile(r"(>=|<=|<>|>|<|=)(.*)", re.DOTALL)
+NUMBER = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[+-]?(?i:inf|infinity|nan)")
 
 
 def glob(pattern: str) -> str:
@@ -28,33 +29,38 @@ def glob(pattern: str) -> str:
 
 
 def _number(s: str) -> float | None:
-    try:
-        return float(s)
-    except ValueError:
-        return None
+    """The number that an operand is: digits as they stand, without blanks or separators."""
+    return float(s) if NUMBER.fullmatch(s) else None
+
+
+def _like(text: Column, pattern: str) -> Column:
+    """Whether a text meets a pattern, case-sensitively."""
+    return text.rlike(glob(pattern)) if re.search(r"[*?~]", pattern) else text == F.lit(pattern)
 
 
 def matches(cell: Column, criterion: object, is_text: bool) -> Column:
-    """Whether cells meet a criterion: a number, or text with a comparison or a pattern.
+    """Whether cells meet a criterion: a number, or text with a comparison or a pattern; never null.
 
-    Plain patterns are case-sensitive and never match numbers; of a number and a text only <> holds.
+    The criterion is trimmed, its operand is not. A null cell is a blank, which is the empty text in any column. Patterns,
+    also those behind = and <>, are case-sensitive and never match numbers; of a number and a text only <> holds. An
+    empty criterion matches nothing.
     """
-    if isinstance(criterion, bool):
-        return F.coalesce(cell == criterion, F.lit(False))
-    if isinstance(criterion, (int, float)):
+    if isinstance(criterion, (int, float)) and not isinstance(criterion, bool):
         return F.lit(False) if is_text else F.coalesce(cell == float(criterion), F.lit(False))
+    criterion = str(criterion).upper() if isinstance(criterion, bool) else criterion.strip()
+    if not criterion:
+        return F.lit(False)
+    text = F.coalesce(cell, F.lit("")) if is_text else F.lit("")
     found = COMPARISON.match(criterion)
-    if not found:
-        if not is_text:
-            return F.lit(False)
-        plain = not re.search(r"[*?~]", criterion)
-        return F.coalesce(cell == criterion if plain else cell.rlike(glob(criterion)), F.lit(False))
-    op, operand = found.groups()
-    n = _number(operand)
-    if n is not None and is_text or n is None and not is_text:
-        return F.lit(op == "<>")
-    other = F.lit(n if n is not None else operand)
-    return F.coalesce({"=": cell == other, "<>": cell != other, ">": cell > other, ">=": cell >= other, "<": cell < other, "<=": cell <= other}[op], F.lit(op == "<>"))
+    op, operand = found.groups() if found else ("=", criterion)
+    n = _number(operand) if found else None
+    if n is None:
+        of_number = F.lit(op == "<>")
+        of_text = {"=": _like(text, operand), "<>": ~_like(text, operand), ">": text > operand, ">=": text >= operand, "<": text < operand, "<=": text <= operand}[op]
+    else:
+        of_text = F.lit(op == "<>")
+        of_number = of_text if is_text else {"=": cell == n, "<>": cell != n, ">": cell > n, ">=": cell >= n, "<": cell < n, "<=": cell <= n}[op]
+    return of_text if is_text else F.when(cell.isNotNull(), of_number).otherwise(of_text)
 
 
 def condition(df: DataFrame, pairs: dict[str, object]) -> Column:
@@ -62,7 +68,8 @@ def condition(df: DataFrame, pairs: dict[str, object]) -> Column:
     out = F.lit(True)
     kinds = dict(df.dtypes)
     for name, criterion in pairs.items():
-        out = out & matches(F.col(name), criterion, kinds[name] == "string")
+        cell = F.upper(F.col(name).cast("string")) if kinds[name] == "boolean" else F.col(name)
+        out = out & matches(cell, criterion, kinds[name] in ("string", "boolean"))
     return out
 
 

@@ -43,6 +43,25 @@ def criteria_wildcards(spark, sf_dir):
     )
 
 
+@register(
+    "criteria_forms",
+    """SELECT n_like, n_unlike, n_trimmed, n_blank_operand, n_separator, n_blank, n_any_blank, n_not_one, n_one, n_filled, n_below, n_text_below FROM
+    (SELECT COUNT(*) FILTER (c_mktsegment LIKE 'B%') AS n_like, COUNT(*) FILTER (c_mktsegment NOT LIKE 'B%') AS n_unlike, COUNT(*) FILTER (c_acctbal > 5000) AS n_trimmed, 0::BIGINT AS n_blank_operand, 0::BIGINT AS n_separator,
+      COUNT(*) FILTER (c_mktsegment < 'F') AS n_text_below FROM customer)
+    CROSS JOIN (SELECT COUNT(*) FILTER (quality IS NULL) AS n_blank, COUNT(*) FILTER (quality IS NULL) AS n_any_blank, COUNT(*) FILTER (quality IS DISTINCT FROM 1) AS n_not_one, COUNT(*) FILTER (quality = 1) AS n_one,
+      COUNT(*) FILTER (quality IS NOT NULL) AS n_filled, COUNT(*) FILTER (quality < 1) AS n_below FROM documents LEFT JOIN labels USING (doc_id))""",
+)
+def criteria_forms(spark, sf_dir):
+    """Patterns behind = and <>, trimmed criteria, operands that are no numbers, and blanks."""
+    count = lambda df, **k: {n: criteria.countifs(criteria.condition(df, c)) for n, c in k.items()}
+    people = table(spark, sf_dir, "customer")
+    marked = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    segment, balance, quality = "c_mktsegment", "c_acctbal", "quality"
+    first = count(people, n_like={segment: "=B*"}, n_unlike={segment: "<>B*"}, n_trimmed={balance: " >5000 "}, n_blank_operand={balance: "> 5000"}, n_separator={balance: ">5_000"}, n_text_below={segment: "<F"})
+    second = count(marked, n_blank={quality: "="}, n_any_blank={quality: "*"}, n_not_one={quality: "<>1"}, n_one={quality: "=1"}, n_filled={quality: "<>"}, n_below={quality: "<1"})
+    return people.agg(*(c.alias(n) for n, c in first.items())).crossJoin(marked.agg(*(c.alias(n) for n, c in second.items())))
+
+
 @register("blockrefs_filter_project", """SELECT p_partkey, p_type, p_retailprice FROM part WHERE p_partkey > 1500""")
 def blockrefs_filter_project(spark, sf_dir):
     """Rows by a key condition, fields by a name pattern."""
