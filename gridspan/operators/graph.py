@@ -19,6 +19,8 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         import tempfile
 
+        if not sc.getConf().get("spark.checkpoint.dir") and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix=f"gridspan-{name}-"))
     return df.checkpoint()
 

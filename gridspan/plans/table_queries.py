@@ -136,22 +136,22 @@ def block_cells_round_trip(spark, sf_dir):
 
 @register(
     "vlookup_exact",
-    """WITH f AS (SELECT c_custkey, MIN(c_mktsegment) AS c_mktsegment FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1) SELECT o_orderkey, c_mktsegment, CASE WHEN c_custkey IS NULL THEN '#N/A' END AS err FROM orders LEFT JOIN f ON o_custkey = c_custkey""",
+    """WITH f AS (SELECT c_custkey, MIN(c_mktsegment) AS c_mktsegment FROM customer GROUP BY 1) SELECT o_orderkey, c_mktsegment, CASE WHEN c_custkey IS NULL THEN '#N/A' END AS err FROM orders LEFT JOIN f ON o_custkey = c_custkey""",
 )
 def vlookup_exact(spark, sf_dir):
     """A column of exact lookups as one join; misses are #N/A."""
-    segment = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select("c_custkey", "c_mktsegment")
+    segment = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     return lookups.vlookup(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", segment, "c_custkey", "c_mktsegment").select("o_orderkey", "c_mktsegment", "err")
 
 
 @register(
     "vlookup_approximate",
-    """WITH k AS (SELECT o_totalprice AS k, MIN(o_orderkey) AS v FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1), a AS (SELECT c_custkey, c_acctbal * 40 AS x FROM customer)
+    """WITH k AS (SELECT o_totalprice AS k, MIN(o_orderkey) AS v FROM orders GROUP BY 1), a AS (SELECT c_custkey, c_acctbal * 40 AS x FROM customer)
     SELECT c_custkey, v, CASE WHEN k IS NULL THEN '#N/A' END AS err FROM a ASOF LEFT JOIN k ON a.x >= k.k""",
 )
 def vlookup_approximate(spark, sf_dir):
     """Approximate lookups as an as-of join: the largest key at or below each value."""
-    keys = table(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_totalprice").alias("k"), F.col("o_orderkey").alias("v"))
+    keys = table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("k"), F.col("o_orderkey").alias("v"))
     left = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") * 40).alias("x"))
     return lookups.approximate(left, "x", keys, "k", "v", position="v").select("c_custkey", "v", "err")
 
@@ -346,22 +346,23 @@ def edit_log(spark, sf_dir):
     return e.select(F.col("event_id").alias("version"), F.lit("s").alias("sheet"), F.col("user_id").cast("int").alias("r"), F.length("event_type").cast("int").alias("c"), F.col("value").cast("string").alias("value"))
 
 
-@register("version_state", """SELECT 's' AS sheet, CAST(user_id AS INTEGER) AS r, CAST(LENGTH(event_type) AS INTEGER) AS c, MAX(event_id) AS last_version FROM events WHERE event_id <= 5000 GROUP BY 1, 2, 3""")
+@register("version_state", """SELECT 's' AS sheet, CAST(user_id AS INTEGER) AS r, CAST(LENGTH(event_type) AS INTEGER) AS c, MAX(event_id) AS last_version FROM events WHERE event_id <= (SELECT MAX(event_id) // 2 FROM events) GROUP BY 1, 2, 3""")
 def version_state(spark, sf_dir):
-    """The cells at a version of an edit log."""
+    """The cells at a version of an edit log: the one at its middle."""
     log = edit_log(spark, sf_dir).withColumn("value", F.col("version").cast("string"))
-    return versions.state_at(log, 5000).select("sheet", "r", "c", F.col("value").cast("long").alias("last_version"))
+    return versions.state_at(log, log.agg(F.max("version")).first()[0] // 2).select("sheet", "r", "c", F.col("value").cast("long").alias("last_version"))
 
 
 @register(
     "version_diff",
-    """WITH a AS (SELECT user_id, LENGTH(event_type) AS c, MAX(event_id) AS v FROM events WHERE event_id <= 1000 GROUP BY 1, 2), b AS (SELECT user_id, LENGTH(event_type) AS c, MAX(event_id) AS v FROM events WHERE event_id <= 1500 GROUP BY 1, 2)
+    """WITH a AS (SELECT user_id, LENGTH(event_type) AS c, MAX(event_id) AS v FROM events WHERE event_id <= (SELECT MAX(event_id) // 2 FROM events) GROUP BY 1, 2), b AS (SELECT user_id, LENGTH(event_type) AS c, MAX(event_id) AS v FROM events GROUP BY 1, 2)
     SELECT CAST(user_id AS INTEGER) AS r, CAST(c AS INTEGER) AS c, CAST(a.v AS VARCHAR) AS before, CAST(b.v AS VARCHAR) AS after, CASE WHEN a.v IS NULL THEN 'added' ELSE 'changed' END AS change FROM b LEFT JOIN a USING (user_id, c) WHERE a.v IS NULL OR a.v <> b.v""",
 )
 def version_diff(spark, sf_dir):
-    """What changed between two versions."""
+    """What changed between two versions: the middle and the last one."""
     log = edit_log(spark, sf_dir).withColumn("value", F.col("version").cast("string"))
-    return versions.diff(versions.state_at(log, 1000), versions.state_at(log, 1500)).drop("sheet")
+    last = log.agg(F.max("version")).first()[0]
+    return versions.diff(versions.state_at(log, last // 2), versions.state_at(log, last)).drop("sheet")
 
 
 @register("rows_inserted", """SELECT n_nationkey + CASE WHEN n_nationkey >= 5 THEN 2 WHEN n_nationkey = 4 THEN -1 ELSE 0 END AS r, n_name AS value FROM nation WHERE n_nationkey <> 3""")
@@ -382,10 +383,10 @@ def dependents(spark, sf_dir):
     return graph.trace(edges, spark.createDataFrame([(3,)], "cell long"))
 
 
-@register("calculation_levels", """SELECT p_partkey AS cell, CAST(FLOOR(LOG2(p_partkey)) AS INTEGER) AS level FROM part WHERE p_partkey < 128 AND p_partkey > 0""")
+@register("calculation_levels", """SELECT p_partkey AS cell, CAST(FLOOR(LOG2(p_partkey)) AS INTEGER) AS level FROM part WHERE p_partkey > 0""")
 def calculation_levels(spark, sf_dir):
     """Order of recalculation."""
-    part = table(spark, sf_dir, "part").filter("p_partkey < 128 AND p_partkey > 0")
+    part = table(spark, sf_dir, "part").filter("p_partkey > 0")
     edges = part.filter("p_partkey > 1").select(F.col("p_partkey").alias("cell"), F.floor(F.col("p_partkey") / 2).cast("long").alias("uses"))
     return graph.levels(edges, part.select(F.col("p_partkey").alias("cell")))
 
@@ -479,11 +480,11 @@ def percent_ranks(spark, sf_dir):
     return ranking.percent_rank(o, "o_totalprice", o.agg(F.max("o_totalprice")).first()[0])
 
 
-@register("markdown_cells", """SELECT conv_id AS key, 0 AS "table", r, c, CASE WHEN r = 0 THEN ['role', 'turn'][c + 1] WHEN c = 0 THEN role ELSE CAST(turn AS VARCHAR) END AS value FROM (SELECT conv_id, turn, role FROM conversations WHERE turn = 0), (VALUES (0), (1)) a(r), (VALUES (0), (1)) b(c)""")
+@register("markdown_cells", """SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS key, 0 AS "table", r, c, CASE WHEN r = 0 THEN ['role', 'turn'][c + 1] WHEN c = 0 THEN role ELSE CAST(turn AS VARCHAR) END AS value FROM (SELECT conv_id, turn, role FROM conversations), (VALUES (0), (1)) a(r), (VALUES (0), (1)) b(c)""")
 def markdown_cells(spark, sf_dir):
     """Cells of Markdown tables in texts."""
     text = F.concat(F.lit("Some text\n| role | turn |\n|------|:----:|\n| "), F.col("role"), F.lit(" | "), F.col("turn").cast("string"), F.lit(" |\nmore"))
-    docs = table(spark, sf_dir, "conversations").filter("turn = 0").select(F.col("conv_id").alias("k"), text.alias("t"))
+    docs = table(spark, sf_dir, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("k"), text.alias("t"))
     return files.markdown_tables(docs, "k", "t").select("key", F.col("table").cast("int").alias("table"), F.col("r").cast("int").alias("r"), "c", "value")
 
 
