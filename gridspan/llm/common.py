@@ -39,12 +39,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none is a local one set."""
+    """The folder that driver and executors share. Where the session names none, a local session gets one; a cluster must name it."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridspan-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get()
