@@ -11,7 +11,6 @@ one vertex. A null id belongs to its fingerprint's component and never names one
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -25,8 +24,10 @@ from .common import keep
 
 SEED = 42
 PLAIN = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Texts of a block, two of which a task compares at a time.
-BLOCK = 32
+#: Texts of a block, two of which a task compares at a time, and their characters; a block of long texts holds fewer.
+BLOCK, BLOCK_CHARS = 128, 2_000_000
+#: Shingles that are counted at a time where blocks meet.
+SHARED = 4096
 BITS = (((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1)).astype(np.int64)
 
 
@@ -140,11 +141,33 @@ def shingles(text: str | None, width: int) -> set[bytes]:
     return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
 
 
+def common_shingles(shapes: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets of shingle digests share: products of incidence matrices, SHARED columns at a time.
+
+    A shingle of one set only is left out, so the work follows what the sets have in common.
+    """
+    n = len(shapes)
+    owner = np.repeat(np.arange(n), [len(s) for s in shapes])
+    _, column, times = np.unique(np.concatenate(shapes), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    shared = times[column] > 1
+    owner, column = owner[shared], number[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((n, n), np.int64)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, SHARED):
+        low, high = np.searchsorted(column, [start, start + SHARED])
+        holds = np.zeros((n, SHARED), np.float32)
+        holds[owner[low:high], column[low:high] - start] = 1
+        both += (holds @ holds.T).astype(np.int64)
+    return both
+
+
 def like_in_blocks(low: int, high: int, slot: int, members: list[tuple], width: int, similarity: float) -> list[tuple[str, str]]:
     """Links (a, b) between members (h, component, block, segs, text) of blocks low and high that join their components.
 
     Pairs of one component, or of one block where low and high differ, are passed over, as are pairs whose first common
-    slot is another one: they meet there. Two sets as alike as `similarity` share one of the first shingles of each.
+    slot is another one: they meet there.
     """
     root: dict[str, str] = {}
 
@@ -153,20 +176,22 @@ def like_in_blocks(low: int, high: int, slot: int, members: list[tuple], width:
             root[c] = c = root.get(up, up)
         return c
 
-    sets = [shingles(m[4], width) for m in members]
-    firsts = [set(sorted(s)[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]) for s in sets]
+    names, parts, block, segs, texts = zip(*members, strict=True)
+    shapes = [np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(t, width)], np.uint64) for t in texts]
+    sizes = np.array([len(s) for s in shapes])
+    both = common_shingles(shapes)
+    part, block, segs = np.unique(parts, return_inverse=True)[1], np.array(block), np.array(segs)
+    meets = (both >= similarity * (sizes[:, None] + sizes[None, :] - both)) & (part[:, None] != part[None, :])
+    if low != high:
+        meets &= block[:, None] != block[None, :]
+    first, second = np.nonzero(np.tril(meets, -1))
+    here = (segs[first] == segs[second]).argmax(axis=1) == slot
     out = []
-    for i, (a, own, head) in enumerate(zip(members, sets, firsts, strict=True)):
-        for j in range(i):
-            b, other = members[j], sets[j]
-            if (low != high and a[2] == b[2]) or min(len(own), len(other)) < similarity * max(len(own), len(other)) or head.isdisjoint(firsts[j]):
-                continue
-            if find(a[1]) == find(b[1]) or next(k for k, (x, y) in enumerate(zip(a[3], b[3], strict=True)) if x == y) != slot:
-                continue
-            both = len(own & other)
-            if both >= similarity * (len(own) + len(other) - both):
-                out.append((a[0], b[0]))
-                root[find(a[1])] = find(b[1])
+    for i, j in zip(first[here].tolist(), second[here].tolist(), strict=True):
+        a, b = find(parts[i]), find(parts[j])
+        if a != b:
+            out.append((names[i], names[j]))
+            root[a] = b
     return out
 
 
@@ -180,7 +205,7 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     and the last text of each of its table entries; the first and the last of those that are like neither, and the member
     with the most links, meet all of the entry in a second round. What these heads leave in several components is
     compared in blocks of BLOCK texts, so no two texts that share a segment stay apart unverified. Every meeting is
-    verified on the whole shingle sets. Of a group the smallest doc_id stays; texts without a word are one group. All
+    verified on the whole shingle sets, in blocks by 64-bit digests of the shingles. Of a group the smallest doc_id stays; texts without a word are one group. All
     columns of docs are returned.
     """
     text_id = F.md5(F.coalesce(F.col("text"), F.lit("")))
@@ -239,11 +264,14 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     groups = keep(components(points.select("h", "label"), edges, "h"), "groups")
 
     # entries whose members are still in several components: all pairs across components but the largest one's own
-    own = members.select("slot", "seg", "h").join(groups.select("h", F.col("root").alias("c")), "h")
-    sizes = own.groupBy("slot", "seg", "c").agg(F.count("*").alias("n")).groupBy("slot", "seg").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"))
-    apart = own.join(sizes.filter("n > n_main"), ["slot", "seg"])
-    blocks_of = lambda n: F.ceil(n / BLOCK).cast("int")
-    mains, others = blocks_of(F.col("n_main")), blocks_of(F.col("n") - F.col("n_main"))
+    own = members.select("slot", "seg", "h").join(groups.select("h", F.col("root").alias("c")), "h").join(texts.select("h", F.length("text").alias("chars")), "h")
+    parts = own.groupBy("slot", "seg", "c").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    main = F.max(F.struct("n", "c", "chars")).alias("main")
+    sizes = parts.groupBy("slot", "seg").agg(main, F.sum("n").alias("n"), F.sum("chars").alias("chars")).filter("n > main.n")
+    sizes = sizes.select("slot", "seg", "n", F.col("chars").alias("all_chars"), F.col("main.c").alias("main"), F.col("main.n").alias("n_main"), F.col("main.chars").alias("main_chars"))
+    apart = own.join(sizes, ["slot", "seg"])
+    blocks_of = lambda n, chars: F.ceil(F.greatest(n / BLOCK, chars / BLOCK_CHARS)).cast("int")
+    mains, others = blocks_of(F.col("n_main"), F.col("main_chars")), blocks_of(F.col("n") - F.col("n_main"), F.col("all_chars") - F.col("main_chars"))
     is_main = F.col("c") == F.col("main")
     # blocks of the largest component are negative and meet the others only
     block = F.when(is_main, -1 - F.pmod(F.xxhash64("h"), mains)).otherwise(F.pmod(F.xxhash64("h"), others)).cast("int")
