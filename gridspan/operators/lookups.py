@@ -9,13 +9,20 @@ from gridspan.functions.core import NA, VALUE
 
 from .criteria import glob
 
-#: Rows of a lookup table up to which it is broadcast; a longer one is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
-def bounded(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table, marked for broadcast if it is proved short: the count stops at the bound."""
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+#: Rows of a lookup table up to which it is broadcast, and their bytes; a larger one is joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 128 << 20
+
+
+def bounded(table: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """The table, marked for broadcast if it is proved small in rows and bytes: the count stops at the bound."""
+    width = F.lit(0).cast("long")
+    for field in table.schema.fields:
+        cell, kind = F.col(f"`{field.name}`"), field.dataType.typeName()
+        if kind in ("struct", "array", "map"):
+            cell, kind = F.to_json(F.struct(cell)), "string"
+        width = width + (F.coalesce(F.octet_length(cell), F.lit(0)) if kind in ("string", "binary") else 16)
+    n, held = table.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(table) if n <= rows and held <= size else table
 
 
 def first_match(table: DataFrame, key: str, fields: list[str], position: str | None) -> DataFrame:

@@ -12,11 +12,11 @@ from gridspan.functions.core import NUM, VALUE
 PARTS = 200
 
 
-def cumulative(df: DataFrame, value: str, order: str, out: str, by: list[str] | None = None, descending: bool = False, parts: int = PARTS) -> DataFrame:
+def cumulative(df: DataFrame, value: str, order: str, out: str, by: list[str] | None = None, descending: bool = False, parts: int = PARTS, ties: list[str] | None = None) -> DataFrame:
     """df with the running sum of a column along a numeric order, within groups or over the whole table.
 
     Rows are cut into ranges of the order; a window runs inside each range of a group and starts at the sum of the ranges
-    before it. Ties of the order within a range have no determined order among themselves.
+    before it. Rows that tie in the order follow the columns `ties`; without them their order among themselves is not determined.
     """
     by = by or []
     place = F.col(order).cast("double")
@@ -29,7 +29,7 @@ def cumulative(df: DataFrame, value: str, order: str, out: str, by: list[str] |
     on = F.col("_slot") == F.col("_at")
     for i, b in enumerate(by):
         on = on & F.col(b).eqNullSafe(F.col(f"_k{i}"))
-    inside = Window.partitionBy(*by, "_slot").orderBy(F.col(order).desc() if descending else F.col(order).asc())
+    inside = Window.partitionBy(*by, "_slot").orderBy(F.col(order).desc() if descending else F.col(order).asc(), *(ties or []))
     run = F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     joined = rows.join(before if by else F.broadcast(before), on)  # without groups at most `parts` rows
     return joined.withColumn(out, F.coalesce("_before", F.lit(0)) + run).drop("_slot", "_at", "_before", *(f"_k{i}" for i in range(len(by))))

@@ -21,13 +21,16 @@ MOST_PART = 1 << 30
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Comma-separated values with a header, CRLF lines, quotes doubled."""
-    df.write.option("header", True).option("quote", '"').option("escape", '"').option("lineSep", "\n").option("emptyValue", "").csv(path)
+    """Comma-separated values with a header, CRLF lines, quotes doubled; an LF within a value is written as CRLF too, and read as LF."""
+    df.write.option("header", True).option("quote", '"').option("escape", '"').option("lineSep", "\r\n").option("emptyValue", "").csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Comma-separated values of a known schema."""
-    return spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", False).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """Comma-separated values of a known schema.
+
+    Quoted line ends keep a file in one task; where no value holds any, `multi_line` False lets large files be split.
+    """
+    return spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(path)
 
 
 def to_csv_lines(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -348,6 +348,33 @@ def test_graph(spark):
     assert graph.precedents(edges, spark.createDataFrame([("d",)], "cell string")).count() == 4
 
 
+def test_csv_line_ends(spark, tmp_path):
+    """Records end in CRLF, and a value with a line end comes back as one value."""
+    df = spark.createDataFrame([(1, "a\nb"), (2, "c"), (3, None)], "i int, s string").coalesce(1)
+    files.write_csv(df, str(tmp_path / "lines"))
+    part = next((tmp_path / "lines").glob("part-*.csv")).read_bytes()
+    assert part.startswith(b"i,s\r\n") and part.endswith(b"3,\r\n") and b'"a\r\nb"' in part
+    rows = files.read_csv(spark, str(tmp_path / "lines"), "i int, s string").orderBy("i").collect()
+    assert [tuple(r) for r in rows] == [(1, "a\nb"), (2, "c"), (3, None)]
+
+
+def test_bounded_by_rows_and_bytes(spark):
+    """A look-up table is broadcast only where both its rows and its bytes are few."""
+    table = spark.range(50).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 1000).alias("v"), F.array("id").alias("a"))
+    hinted = lambda **kw: "ResolvedHint" in lookups.bounded(table, **kw)._jdf.queryExecution().analyzed().toString()
+    assert hinted() and not hinted(rows=49) and not hinted(size=49_000) and hinted(rows=50, size=60_000)
+    assert lookups.bounded(table.filter("k < 0")).count() == 0
+
+
+def test_cumulative_of_ties(spark):
+    """Rows that tie in the order follow the tie-break columns."""
+    rows = spark.createDataFrame([(i // 10, i, float(i % 7)) for i in range(200)], "o int, i int, x double")
+    total = 0.0
+    for r in ranking.cumulative(rows, "x", "o", "s", ties=["i"]).orderBy("i").collect():
+        total += r["x"]
+        assert r["s"] == total
+
+
 def test_sources(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "b", c'), (2, None)], "i int, s string")
     files.write_csv(df, str(tmp_path / "csv"))
