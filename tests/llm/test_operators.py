@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -202,6 +203,46 @@ def test_pruned_contexts_are_one_leaf():
         assert tree.code(key)[0] == pytest.approx(math.log10(chance(context)), rel=1e-4)
 
 
+def test_texts_teach_about_themselves():
+    """Sequential estimates of a part's own contexts, weighted with the tree's; neighbours in a batch change nothing."""
+    import math
+
+    import numpy as np
+
+    tree = ctw.Tree([(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * (ctw.DEPTH + 1))
+    text = b"abcabcabxabcabcabx" * 3 + b"\0\0\0abc"
+    whole, chance, weights = text + b"\0", [2.0**-8] * (len(text) + 1), []
+    for depth, strength in ctw.OWN:
+        padded, odds, out = bytes(depth) + whole, 0.0, []
+        for i, p in enumerate(chance):
+            before = [padded[j + depth] for j in range(i) if padded[j : j + depth] == padded[i : i + depth]]
+            own = (before.count(whole[i]) + strength * p) / (len(before) + strength)
+            share = 1 / (1 + math.exp(-odds))
+            out.append(share * own + (1 - share) * p)
+            odds += math.log(own / p)
+        chance = out
+        weights.append(share)
+    got = tree.logs_of([b"abc", text, b"bbbaaaccc" * 9, text])
+    assert 10.0 ** got[1] == pytest.approx(chance, rel=1e-4)
+    assert 10.0 ** got[3] == pytest.approx(chance, rel=1e-4)
+    assert max(weights) > 0.9
+    assert sum(10.0 ** tree.logs_of([text[:30] + bytes([b])])[0][30] for b in range(256)) == pytest.approx(1, rel=1e-4)
+
+
+def test_held_out_repeats_are_scored_above_the_base(spark):
+    """A held-out text of words that training does not know, which come again and again."""
+    rng = random.Random(8)
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2][:40]
+    held = next(i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2)
+    word = lambda: "".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9)))
+    rows = [(i, " ".join(word() for _ in range(200))) for i in ids]
+    line = " ".join(word().upper() + "!!" for _ in range(25))
+    rows.append((held, "\n".join([line] * 8)))
+    got = {r["doc_id"]: r for r in ctw.score_held_out(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows) and all(math.isfinite(r["score"]) for r in got.values())
+    assert got[held]["n_known"] == 1 and got[held]["score"] > got[held]["base_score"]
+
+
 def test_words_are_contexts_of_the_next(spark, monkeypatch):
     """The score is that of the bytes, corrected behind each word by what training saw follow it."""
     import collections
