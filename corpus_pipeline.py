@@ -34,6 +34,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id.
 
+    Groups are those of operator 7, SimHashes at two bits or fewer, joined by verified links of the wider search.
+
     Edge cases: null texts, empty ones and those without a word are one group. A null doc_id stays only where its group
     has no other. Of equal rows with equal ids one stays. Texts of fewer than five words are compared as one shingle.
     """

@@ -99,11 +99,16 @@ def components(points: DataFrame, edges: DataFrame, vertex: str, most_rounds: in
     return named.join(named.groupBy("c").agg(F.min("label").alias("component_id")), "c").select(vertex, F.col("c").alias("root"), "component_id")
 
 
+def fingerprint_groups(prints: DataFrame, label: str) -> DataFrame:
+    """fp, root and component_id of each fingerprint of prints: the smallest `label` reachable by links of at most two bits."""
+    points = keep(prints.groupBy("fp").agg(F.min(label).alias("label")), "points")
+    return components(points, links(points.select("fp")), "fp")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable by links of at most two bits) of every row."""
     prints = keep(fingerprints(docs, width), "fingerprints")
-    points = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("label")), "points")
-    groups = components(points, links(points.select("fp")), "fp")
+    groups = fingerprint_groups(prints, "doc_id")
     return prints.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -112,8 +117,8 @@ def plain_words(text: str | None) -> list[bytes]:
     return PLAIN.findall(text.encode("utf-8", "replace").lower()) if text else []
 
 
-def segments(text: str | None, width: int, slices: int, least: int) -> list[int]:
-    """One segment for each slice of a text's shingles: a digest of the `least` smallest hashes of the slice.
+def segments(text: str | None, width: int, slices: int, least: int) -> tuple[list[int], int]:
+    """One segment for each slice of a text's shingles: a digest of the `least` smallest hashes of the slice. And how many shingles.
 
     Shingles fall into slices by their hash, so two texts that share most shingles agree on whole slices; a segment is
     then equal, not just close. Empty slices give a segment that is the digest of all words.
@@ -132,7 +137,7 @@ def segments(text: str | None, width: int, slices: int, least: int) -> list[int]
     for i in range(slices):
         own = hashes[slice_of == i][:least]
         out.append(digest(own.tobytes(), SEED) if len(own) else whole)
-    return np.array(out, np.uint64).astype(np.int64).tolist()
+    return np.array(out, np.uint64).astype(np.int64).tolist(), max(1, len(hashes))
 
 
 def shingles(text: str | None, width: int) -> set[bytes]:
@@ -195,44 +200,59 @@ def like_in_blocks(low: int, high: int, slot: int, members: list[tuple], width:
     return out
 
 
-def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, slices: int = 16, least: int = 4) -> DataFrame:
-    """One document of each group of near copies: those whose shingle sets have a Jaccard similarity of at least `similarity`.
+def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, slices: int = 16, least: int = 4, print_width: int = 3) -> DataFrame:
+    """One document of each group of near copies.
 
-    Shingles are of words without case and punctuation (`plain_words`).
+    Texts are linked by their fingerprints (of shingles of `print_width` words) at two bits or fewer, as in `near_duplicates`,
+    and where their shingle sets have a Jaccard similarity of at least `similarity`; these shingles are of words without case
+    and punctuation (`plain_words`).
 
-    At such a similarity 64-bit SimHashes differ in about ten bits, beyond any small ball; so the fingerprint is made long,
-    one segment for each slice of the shingles, and the tables are probed with whole segments. Each text meets the first
+    At such a similarity 64-bit SimHashes differ in about ten bits, beyond any small ball; so the fingerprint is made long for
+    the second kind of link, one segment for each slice of the shingles, and the tables are probed with whole segments. Each text meets the first
     and the last text of each of its table entries; the first and the last of those that are like neither, and the member
     with the most links, meet all of the entry in a second round. What these heads leave in several components is
     compared in blocks of BLOCK texts, so no two texts that share a segment stay apart unverified. Every meeting is
-    verified on the whole shingle sets, in blocks by 64-bit digests of the shingles. Of a group the smallest doc_id stays; texts without a word are one group. All
-    columns of docs are returned.
+    verified on the whole shingle sets, in blocks by 64-bit digests of the shingles; two texts whose fingerprints are linked
+    already, or whose numbers of shingles rule the similarity out, need not meet. Of a group the smallest doc_id stays; texts
+    without a word are one group. All columns of docs are returned.
     """
     text_id = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    # a row's id as text, so that joins and what follows them are dealt by one key, nulls too
+    id_key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([segments(t.as_py(), width, slices, least) for t in batch.column(2)], pa.list_(pa.int64()))], ["doc_id", "h", "segs"])
-
-    sketches = docs.select("doc_id", text_id.alias("h"), "text").mapInArrow(run, f"doc_id {doc_type}, h string, segs array<long>")
-    points = keep(sketches.groupBy("h").agg(F.min("doc_id").alias("label"), F.first("segs").alias("segs")), "points")
-    entries = points.select("h", F.posexplode("segs").alias("slot", "seg"))
-    ends = keep(entries.groupBy("slot", "seg").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high"), "ends")
+            texts = batch.column(2).to_pylist()
+            segs, sizes = zip(*(segments(t, width, slices, least) for t in texts), strict=True) if texts else ((), ())
+            prints = [fingerprint(t, print_width) for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(segs, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64())], ["doc_id", "h", "segs", "size", "fp"])
+
+    sketches = docs.select("doc_id", text_id.alias("h"), "text").mapInArrow(run, f"doc_id {doc_type}, h string, segs array<long>, size long, fp long")
+    points = keep(sketches.groupBy("h").agg(F.min("doc_id").alias("label"), *(F.first(c).alias(c) for c in ("segs", "size", "fp"))), "points")
+    # fingerprints first: texts of one of their components are linked to its smallest text id
+    prints = keep(fingerprint_groups(points.select("fp", "h"), "h").select("fp", F.col("component_id").alias("near")), "prints")
+    points = keep(points.join(prints, "fp").drop("fp"), "points")
+    print_edges = points.filter(F.col("near") != F.col("h")).select(F.col("h").alias("a"), F.col("near").alias("b"))
+    entries = points.select("h", "size", "near", F.posexplode("segs").alias("slot", "seg"))
+    whole_of = ("h", "size", "near")
+    whole = F.struct(*whole_of)
+    ends = entries.groupBy("slot", "seg").agg(F.min(whole).alias("low"), F.max(whole).alias("high")).filter("low.h <> high.h")
     # the members of entries with company; texts that share no segment with another are done with here
     members = keep(entries.join(ends, ["slot", "seg"]), "members")
 
     def against(heads: DataFrame, *which: str) -> DataFrame:
-        """Pairs of each member of an entry with the entry's heads."""
-        each = heads.select("slot", "seg", F.explode(F.array(*which)).alias("head"))
-        return members.select("slot", "seg", "h").join(each, ["slot", "seg"]).filter(F.col("h") != F.col("head")).select("h", "head").distinct()
+        """Pairs of each member of an entry with the entry's heads, but those that are linked already or cannot be alike."""
+        each = heads.select("slot", "seg", F.explode(F.array(*which)).alias("to"))
+        may = (F.col("near") != F.col("to.near")) & (F.least("size", "to.size") >= similarity * F.greatest("size", "to.size"))
+        return members.select("slot", "seg", "h", "size", "near").join(each, ["slot", "seg"]).filter(may).select("h", F.col("to.h").alias("head")).distinct()
 
+    ends = members.select("slot", "seg", "low", "high").dropDuplicates(["slot", "seg"])
     pairs = keep(against(ends, "low", "high"), "pairs")
-    involved = points.select("h", "label").join(pairs.select("h").union(pairs.select("head")).distinct(), "h", "left_semi")
     # one row stands for its text: copies, of which a text may have any number, are dealt by their ids and left behind
-    own = docs.select(text_id.alias("h"), F.col("doc_id").alias("id"), "text")
-    texts = own.join(involved.withColumnRenamed("h", "of"), (F.col("h") == F.col("of")) & F.col("id").eqNullSafe(F.col("label")), "left_semi")
-    texts = keep(texts.groupBy("h").agg(F.max("text").alias("text")), "texts")
+    own = docs.select(text_id.alias("h"), id_key("doc_id").alias("id"), "text")
+    involved = members.select("h").distinct().join(points.select("h", id_key("label").alias("id")), "h")
+    texts = keep(own.join(involved, ["h", "id"], "left_semi").groupBy("h", "id").agg(F.max("text").alias("text")).drop("id"), "texts")
 
     def alike(batches: Iterator[pa.RecordBatch]):
         last, shape = None, set()
@@ -254,13 +274,14 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     first_edges = verified(pairs)
     # members that are like neither head of an entry give heads of a second round, with the member that has most links
     either = keep(first_edges.union(first_edges.select("b", "a")).distinct(), "either")
-    low, high = (either.select(F.col("a").alias("h"), F.col("b").alias(n), F.lit(True).alias(f"like_{n}")) for n in ("low", "high"))
-    unlike = members.filter((F.col("h") != F.col("low")) & (F.col("h") != F.col("high"))).join(low, ["h", "low"], "left").join(high, ["h", "high"], "left").filter("like_low is null and like_high is null")
-    again = keep(unlike.groupBy("slot", "seg").agg(F.min("h").alias("low"), F.max("h").alias("high")), "again")
+    low, high = (either.select(F.col("a").alias("h"), F.col("b").alias(n), F.lit(True).alias(f"like_{n}")) for n in ("first_h", "last_h"))
+    unlike = members.filter((F.col("near") != F.col("low.near")) & (F.col("near") != F.col("high.near"))).select("*", F.col("low.h").alias("first_h"), F.col("high.h").alias("last_h"))
+    unlike = unlike.join(low, ["h", "first_h"], "left").join(high, ["h", "last_h"], "left").filter("like_first_h is null and like_last_h is null")
+    again = keep(unlike.groupBy("slot", "seg").agg(F.min(whole).alias("low"), F.max(whole).alias("high")), "again")
     linked = either.groupBy(F.col("a").alias("h")).agg(F.count("*").alias("links"))
-    hubs = members.select("slot", "seg", "h").join(again.select("slot", "seg"), ["slot", "seg"], "left_semi").join(linked, "h").groupBy("slot", "seg").agg(F.max(F.struct("links", "h")).alias("hub"))
-    second = again.join(hubs, ["slot", "seg"], "left").select("slot", "seg", "low", "high", F.coalesce("hub.h", "low").alias("hub"))
-    edges = first_edges.union(verified(against(second, "low", "high", "hub").join(pairs, ["h", "head"], "left_anti")))
+    hubs = members.select("slot", "seg", "h", "size", "near").join(again.select("slot", "seg"), ["slot", "seg"], "left_semi").join(linked, "h").groupBy("slot", "seg").agg(F.max(F.struct("links", *whole_of)).alias("hub"))
+    second = again.join(hubs, ["slot", "seg"], "left").select("slot", "seg", "low", "high", F.when(F.col("hub").isNull(), F.col("low")).otherwise(F.struct(*(F.col(f"hub.{c}").alias(c) for c in whole_of))).alias("hub"))
+    edges = first_edges.union(print_edges).union(verified(against(second, "low", "high", "hub").join(pairs, ["h", "head"], "left_anti")))
     groups = keep(components(points.select("h", "label"), edges, "h"), "groups")
 
     # entries whose members are still in several components: all pairs across components but the largest one's own
@@ -292,6 +313,6 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     best = F.min(F.struct(F.col("label").isNull().alias("none"), F.col("label").alias("label"), F.col("h").alias("h"))).alias("best")
     first = points.select("h", "label").join(groups, "h").groupBy("root").agg(best).select("best.h", F.col("best.label").alias("first_id"))
     names = docs.columns
-    own = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)), text_id.alias("h"), F.col("doc_id").alias("id"))
-    kept = own.join(first, (own["h"] == first["h"]) & own["id"].eqNullSafe(first["first_id"]), "left_semi").dropDuplicates(["h", "id"])
+    own = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), text_id.alias("h"), id_key("doc_id").alias("id"))
+    kept = own.join(first.select("h", id_key("first_id").alias("id")), ["h", "id"], "left_semi").dropDuplicates(["h", "id"])
     return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))

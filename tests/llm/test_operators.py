@@ -580,6 +580,20 @@ def test_distinct_documents(spark):
     assert simhash.distinct_documents(empty(spark)).count() == 0
 
 
+def test_near_copies_are_linked_by_fingerprints_too(spark):
+    """Texts at two bits or fewer are one group, as in near_duplicates, also where their sets of shingles differ."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    phrase = "buy cheap words from us now "
+    texts = [phrase * 300 + " ".join(word() for _ in range(40)) for _ in range(3)] + [" ".join(word() for _ in range(60)) for _ in range(3)]
+    prints = [simhash.fingerprint(t, 3) for t in texts[:2]]
+    a, b = (simhash.shingles(t, 5) for t in texts[:2])
+    assert (prints[0] ^ prints[1]).bit_count() <= 2 and len(a & b) < 0.2 * len(a | b)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    linked = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert {r["doc_id"] for r in simhash.distinct_documents(docs).collect()} == linked == {0, 3, 4, 5}
+
+
 def test_copies_of_a_hub(spark):
     """Hundreds of copies that are like one text and unlike each other are one group."""
     rng = random.Random(5)
