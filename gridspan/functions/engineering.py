@@ -15,9 +15,9 @@ DIGITS = {"BIN": "[01]{1,10}", "OCT": "[0-7]{1,10}", "HEX": "[0-9A-Fa-f]{1,10}"}
 def to_decimal(kind: str, s: Column) -> Column:
     """The number that ten digits of two's complement stand for; null where the text is none."""
     base, bits = BASES[kind]
-    ok = s.rlike(f"^{DIGITS[kind]}$")
-    n = F.conv(F.when(ok, s), base, 10).cast("double")
-    return F.when(n >= 2.0 ** (bits - 1), n - 2.0**bits).otherwise(n)
+    half = 2.0 ** (bits - 1)
+    n = F.conv(F.nullif(F.regexp_extract(s, f"^({DIGITS[kind]})$", 1), F.lit("")), base, 10).cast("double")
+    return (n + half) % (2 * half) - half  # names n once: nested calls stay one expression each
 
 
 def from_decimal(kind: str, n: Column, places: Column | None, err: Column) -> Val:
@@ -31,7 +31,7 @@ def from_decimal(kind: str, n: Column, places: Column | None, err: Column) -> Va
         p = F.floor(places).cast("int")
         bad = bad | (whole >= 0) & ((p > 10) | (p < F.length(plain)))
         out = F.when(whole < 0, plain).otherwise(F.call_function("lpad", plain, p, F.lit("0")))
-    return Val(out, F.coalesce(err, F.when(bad, NUM)))
+    return Val(out, F.coalesce(err, F.when(bad, NUM)), "text")
 
 
 def _conversion(a: str, b: str) -> None:
@@ -105,9 +105,21 @@ class Complex:
         self.re, self.im, self.err, self.suffix = re, im, err, suffix
 
 
+class ComplexText(Val):
+    """Text of a complex number that keeps its parts, so that a nested call need not read the text again."""
+
+    def __init__(self, value: Column, re: Column, im: Column, err: Column, suffix: Column):
+        super().__init__(value, err, "text")
+        self.re, self.im, self.suffix = re, im, suffix
+
+
 def parse(x, bad: str = NUM) -> Complex:
     """a+bi, a+bj, a number or blank (0); booleans are #VALUE!."""
     v = lift(x)
+    if isinstance(v, ComplexText):
+        # what the text of such parts cannot say: they are no numbers, or "+-0i"
+        unread = F.isnan(v.re) | F.isnan(v.im) | (F.greatest(F.abs(v.re), F.abs(v.im)) == float("inf")) | (v.im.cast("string") == "-0.0")
+        return Complex(v.re, v.im, F.coalesce(v.err, F.when(unread, bad)), v.suffix)
     s = F.when(v.value.isNull(), "0").otherwise(text_of(v.value))
     fits = s.rlike(COMPLEX_TEXT) & s.rlike("[0-9ij]")
     part = lambda i: F.regexp_extract(s, COMPLEX_TEXT, i)
@@ -119,8 +131,8 @@ def parse(x, bad: str = NUM) -> Complex:
 
 def write(re: Column, im: Column, err: Column, suffix: Column) -> Val:
     """re+imi text."""
-    r, i = text_of(re), text_of(im)
-    return Val(F.concat(r, F.when(im < 0, "").otherwise("+"), i, suffix), err)
+    r, i = (F.regexp_replace(F.coalesce(x.cast("string"), F.lit("")), r"^(-?[0-9]+)\.0$", "$1") for x in (re, im))
+    return ComplexText(F.concat(r, F.when(im < 0, "").otherwise("+"), i, suffix), re, im, err, suffix)
 
 
 def _out(z: Complex, re: Column, im: Column) -> Val:
@@ -132,7 +144,8 @@ def _out(z: Complex, re: Column, im: Column) -> Val:
 def complex_text(re, im, suffix="i"):
     """Text of two parts."""
     a, b, s = number(re), number(im), lift(suffix)
-    return write(a.value, b.value, F.coalesce(first_error(a, b, s), F.when(~s.value.cast("string").isin("i", "j"), VALUE)), s.value.cast("string"))
+    got = write(a.value, b.value, F.coalesce(first_error(a, b, s), F.when(~s.value.cast("string").isin("i", "j"), VALUE)), s.value.cast("string"))
+    return got if isinstance(suffix, str) else Val(got.value, got.err)  # a suffix from the data may be blank
 
 
 def _real(name: str, f) -> None:

@@ -1,5 +1,6 @@
 """Formula functions, block operators and the registered queries with their SQL."""
 
+import math
 import zipfile
 from datetime import date
 
@@ -446,6 +447,76 @@ def test_irr(spark):
     assert dated.agg(xirr(F.col("v"), F.col("d"))).first()[0] == pytest.approx(0.373362535, abs=1e-6)
 
 
+def test_rates_of_many_flows_at_once():
+    """A batch of lists of flows gives what Newton's steps give for each list alone."""
+    import random
+
+    import pyarrow as pa
+
+    from gridspan.functions import finance
+
+    def alone(flows, guess, least):
+        flows = sorted((f["w"], f["v"]) for f in flows or [] if f["w"] is not None and f["v"] is not None)
+        if not any(v > 0 for _, v in flows) or not any(v < 0 for _, v in flows):
+            return None
+        f = lambda r: sum(v / (1 + r) ** ((w - flows[0][0]) / least) for w, v in flows)
+        r = guess
+        for _ in range(finance.ROUNDS):
+            try:
+                new = r - f(r) / ((f(r + 1e-6) - f(r - 1e-6)) / 2e-6)
+            except (ZeroDivisionError, OverflowError):
+                return None
+            if isinstance(new, complex) or not math.isfinite(new):
+                return None
+            if abs(new - r) < finance.CLOSE:
+                return new
+            r = new
+        return None
+
+    rng = random.Random(2)
+    lists = [[{"w": float(rng.randint(0, 900)), "v": rng.choice([-1, 1, 1]) * rng.random() * 1e4} for _ in range(rng.randint(1, 8))] for _ in range(300)]
+    lists += [[], None, [{"w": None, "v": 1.0}, {"w": 1.0, "v": None}], [{"w": 0.0, "v": 0.0}], [{"w": 0.0, "v": -1.0}, {"w": 5000.0, "v": 1e300}]]
+    flows = pa.array(lists, pa.list_(pa.struct([("w", pa.float64()), ("v", pa.float64())])))
+    for least in (1.0, 365.0):
+        got = finance._roots(flows, pa.array([0.1] * len(lists), pa.float64()), least).to_pylist()
+        expect = [alone(f, 0.1, least) for f in lists]
+        assert sum(x is not None for x in expect) > 15
+        assert [None if x is None else round(x, 6) for x in got] == [None if x is None else round(x, 6) for x in expect]
+
+
+def test_nested_complex_functions_stay_small(spark):
+    """Each level of nesting adds as much as the one before, and the text of a part is not read again."""
+    from gridspan.functions import call
+
+    z = call("COMPLEX", F.col("a"), F.col("b"))
+    sizes = []
+    for _ in range(3):
+        z = call("IMSUM", z, "1+2i")
+        sizes.append(len(str(call("IMABS", z).column())))
+    assert sizes[2] < 8 * sizes[0]
+    assert len(str(call("HEX2DEC", call("DEC2HEX", F.col("a"))).column())) < 4 * len(str(call("DEC2HEX", F.col("a")).column()))
+    df = spark.createDataFrame([(1.0, -4.0), (0.0, -0.0), (1e20, 2.5e-7), (float("nan"), 1.0), (None, 3.0), (3.0, float("inf"))], "a double, b double")
+    z = call("COMPLEX", F.col("a"), F.col("b"))
+    kept, read = call("IMSUM", z, "1-2i"), call("IMSUM", F.when(z.err.isNull(), z.value), "1-2i")
+    for f in (kept, read):
+        assert [r[0] for r in df.select(f.shown()).collect()] == ["2-6i", "#NUM!", "1.0E20-1.99999975i", "#NUM!", "1+1i", "#NUM!"]
+
+
+def test_rounds_of_tracing_broadcast_nothing(spark, monkeypatch):
+    """What a round joins is dealt by key, however small it is: broadcasts would all go through the driver."""
+    plans, written = [], graph._written
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(graph, "_written", seen)
+    edges = spark.createDataFrame([(i, i // 2) for i in range(2, 40)], "cell long, uses long")
+    assert graph.trace(edges, spark.createDataFrame([(3,)], "cell long")).count() == 15
+    assert graph.levels(edges, spark.createDataFrame([(i,) for i in range(1, 40)], "cell long")).agg(F.max("level")).first()[0] == 5
+    assert len(plans) > 10 and not any("Broadcast" in p for p in plans)
+
+
 def test_limits_of_tracing_are_told(spark):
     """Without a limit cells are followed to the end; a limit that is met raises, and no chain passes for a cycle."""
     edges = spark.createDataFrame([(i + 1, i) for i in range(4)], "cell long, uses long").coalesce(1)
