@@ -25,6 +25,11 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.checkpoint()
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join in a round: dealt by key, since broadcasts of many rounds would all go through the driver."""
+    return df.hint("merge")
+
+
 def trace(edges: DataFrame, start: DataFrame, most_levels: int | None = None) -> DataFrame:
     """(cell, level) of all that depend on the start cells; edges are (cell, uses). A frontier join for each level.
 
@@ -33,8 +38,8 @@ def trace(edges: DataFrame, start: DataFrame, most_levels: int | None = None) ->
     seen = start.select(F.col("cell"), F.lit(0).alias("level"))
     front = seen.select("cell")
     for level in count(1):
-        reached = edges.join(front.withColumnRenamed("cell", "uses"), "uses").select("cell").distinct()
-        front = _written(reached.join(seen, "cell", "left_anti"), "front")
+        reached = edges.join(_shuffled(front.withColumnRenamed("cell", "uses")), "uses").select("cell").distinct()
+        front = _written(reached.join(_shuffled(seen), "cell", "left_anti"), "front")
         if front.isEmpty():
             break
         if most_levels is not None and level > most_levels:
@@ -55,14 +60,14 @@ def levels(edges: DataFrame, cells: DataFrame, most_levels: int | None = None) -
     """
     left, done = cells.select("cell").distinct(), None
     for level in count():
-        waiting = edges.join(left.withColumnRenamed("cell", "uses"), "uses", "left_semi").select("cell").distinct()
-        ready = _written(left.join(waiting, "cell", "left_anti").withColumn("level", F.lit(level)), "ready")
+        waiting = edges.join(_shuffled(left.withColumnRenamed("cell", "uses")), "uses", "left_semi").select("cell").distinct()
+        ready = _written(left.join(_shuffled(waiting), "cell", "left_anti").withColumn("level", F.lit(level)), "ready")
         if ready.isEmpty():
             break
         if most_levels is not None and level >= most_levels:
             raise ValueError(f"there are more than {most_levels} levels")
         done = ready if done is None else done.unionByName(ready)
-        left = _written(left.join(ready, "cell", "left_anti"), "left")
+        left = _written(left.join(_shuffled(ready), "cell", "left_anti"), "left")
     behind = left.withColumn("level", F.lit(None).cast("int"))
     return behind if done is None else done.unionByName(behind)
 
