@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -11,6 +16,8 @@ from .dates import date_of, days_30_360, serial_of, when_of, year_fraction
 
 #: Newton's stopping rule.
 ROUNDS, CLOSE = 1000, 1e-7
+#: Steps that a batch takes together, and how far from zero its rates may lie.
+TOGETHER, NEAR = 20, 10.0
 
 
 def _or0(x: Column | None) -> Column:
@@ -195,9 +202,9 @@ def xnpv(rate: float, flow: Column, day: Column, first_day: Column) -> Column:
     return F.sum(flow / F.pow(F.lit(1.0 + rate), F.datediff(day, first_day) / 365.0))
 
 
-def _newton(f, guess: float) -> float | None:
-    import math
-
+def _newton(flows: list[tuple[float, float]], guess: float) -> float | None:
+    """Newton's steps for one list of flows (power, v)."""
+    f = lambda r: sum(v / (1 + r) ** p for p, v in flows)
     r = guess
     for _ in range(ROUNDS):
         try:
@@ -213,22 +220,65 @@ def _newton(f, guess: float) -> float | None:
     return None
 
 
-def _root(flow, when, guess, least) -> float | None:
-    flows = sorted((w, v) for w, v in zip(when, flow, strict=True) if w is not None and v is not None)
-    if not any(v > 0 for _, v in flows) or not any(v < 0 for _, v in flows):
-        return None
-    start = flows[0][0]
-    return _newton(lambda r: sum(v / (1 + r) ** ((w - start) / least) for w, v in flows), guess)
-
-
-@F.udf(DoubleType())
-def _irr(flows, guess):
-    return _root([x["v"] for x in flows], [x["w"] for x in flows], guess, 1.0)
-
-
-@F.udf(DoubleType())
-def _xirr(flows, guess):
-    return _root([x["v"] for x in flows], [x["w"] for x in flows], guess, 365.0)
+def _roots(flows: pa.Array, guess: pa.Array, least: float) -> pa.Array:
+    """The rate of each list of flows (w, v) by Newton's steps; null where none is found.
+
+    All lists of a batch step at once. Those that do not settle soon, or far from zero, where the steps hang on the last
+    digit, are stepped through alone.
+    """
+    n = len(flows)
+    owner = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(flows), 0).to_numpy(zero_copy_only=False))
+    flat = flows.flatten()
+    w, v = (pc.struct_field(flat, [c]).to_numpy(zero_copy_only=False).astype(float) for c in ("w", "v"))
+    there = np.array(pc.and_(pc.is_valid(pc.struct_field(flat, ["w"])), pc.is_valid(pc.struct_field(flat, ["v"]))).to_numpy(zero_copy_only=False), bool)
+    owner, w, v = owner[there], w[there], v[there]
+    order = np.lexsort((v, w, owner))
+    owner, w, v = owner[order], w[order], v[order]
+    counts = np.bincount(owner, minlength=n)
+    some = counts > 0
+    starts = (np.cumsum(counts) - counts)[some]
+    begin = np.zeros(n)
+    begin[some] = w[starts]
+    power = (w - begin[owner]) / least
+    out = np.full(n, np.nan)
+    live = (np.bincount(owner[v > 0], minlength=n) > 0) & (np.bincount(owner[v < 0], minlength=n) > 0)
+    rate = guess.to_numpy(zero_copy_only=False).astype(float)
+    two_signs, every, first = np.flatnonzero(live), (power, v), rate
+    offsets = np.r_[0, np.cumsum(counts)]
+    with np.errstate(all="ignore"):
+        for _ in range(TOGETHER):
+            if not live.any():
+                break
+            mine = live[owner]
+            owner, power, v = owner[mine], power[mine], v[mine]
+
+            def value(r):
+                grown = np.power((1 + r)[owner], power)
+                # a power beyond all doubles, or a division by zero, ends the search
+                return np.bincount(owner, np.where(np.isfinite(grown) & (grown != 0), v / grown, np.nan), n)  # noqa: B023
+
+            new = rate - value(rate) / ((value(rate + 1e-6) - value(rate - 1e-6)) / 2e-6)
+            live = live & np.isfinite(new)
+            settled = live & (np.abs(new - rate) < CLOSE)
+            out[settled] = new[settled]
+            live &= ~settled
+            rate = np.where(live, new, rate)
+    power, v = every
+    for i in two_signs[~(np.abs(out[two_signs]) < NEAR)].tolist():
+        own = slice(offsets[i], offsets[i + 1])
+        got = _newton(list(zip(power[own].tolist(), v[own].tolist(), strict=True)), float(first[i]))
+        out[i] = np.nan if got is None else got
+    return pa.array(out, mask=np.isnan(out))
+
+
+@F.arrow_udf(DoubleType())
+def _irr(flows: pa.Array, guess: pa.Array) -> pa.Array:
+    return _roots(flows, guess, 1.0)
+
+
+@F.arrow_udf(DoubleType())
+def _xirr(flows: pa.Array, guess: pa.Array) -> pa.Array:
+    return _roots(flows, guess, 365.0)
 
 
 def irr(flow: Column, position: Column, guess: float = 0.1) -> Column:
