@@ -203,6 +203,51 @@ def test_pruned_contexts_are_one_leaf():
         assert tree.code(key)[0] == pytest.approx(math.log10(chance(context)), rel=1e-4)
 
 
+def test_every_context_counts_whatever_tasks_know(spark, monkeypatch):
+    """Scores do not depend on how many pairs are known to every task, and equal those of the whole tree."""
+    import math
+
+    import numpy as np
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("etaoin", k=rng.randint(1, 7)))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(0, 60)))) for i in range(60)] + [(60, None), (61, ""), (62, "ÄÖ 中文 abc"), (None, "never learnt \u0001 ~")]
+    rows += rows[3:6]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    train = "doc_id % 3 <> 0"
+    monkeypatch.setattr(ctw, "COMMON", 10**9)
+    learnt = docs.filter(train).select("text").mapInArrow(ctw.count_batches, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    tree = ctw.fit(learnt)
+    texts = sorted({t or "" for _, t in rows})
+    whole = dict(zip(texts, tree.score([ctw.normal(t) for t in texts]), strict=True))
+    plain = lambda out: sorted((r["doc_id"] or -1, r["n_tokens"], round(r["score"], 3)) for r in out.collect())
+    every, some, none = (plain(ctw.score(docs, train, max_pairs=n)) for n in (1_000_000, 300, 0))
+    assert every == some == none and len(every) == len(rows) and all(math.isfinite(s) for _, _, s in every)
+    # the pairs' logs are the whole tree's, those that were never learnt too
+    keys = {k for t in texts for k in ctw.keyed([bytes(ctw.DEPTH) + ctw.normal(t) + b"\0"])[0].tolist()}
+    counts = docs.select("text", F.coalesce(F.expr(train), F.lit(False)).alias("learnt")).mapInArrow(ctw.count_batches, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    got = {r["k"]: r["log"] for r in ctw.pair_logs(ctw.deep_pairs(counts)).collect()}
+    assert set(got) == keys
+    assert list(got.values()) == pytest.approx(tree.code(np.array(list(got), np.uint64)).tolist(), rel=1e-4)
+    assert whole[""] == pytest.approx(next(s for i, _, s in every if i == 61), rel=1e-3)
+    with pytest.raises(ValueError):
+        ctw.fit(learnt, 10)
+
+
+def test_runs_hold_groups_whole(monkeypatch):
+    """Rows sorted by group come in runs that cut no group, whatever the batches."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ctw, "FLUSH", 7)
+    g = [1, 1, 2, 3, 3, 3] + [4] * 30 + [5, 6, 6, 7]
+    rows = pa.table({c: pa.array(g if c == "g" else range(len(g)), pa.int64()) for c in ("g", "k", "n", "m")})
+    for size in (1, 2, 5, 100):
+        runs = list(ctw.groups(iter(rows.to_batches(max_chunksize=size))))
+        assert [x for r in runs for x in r[1]] == list(range(len(g)))
+        assert all(set(a[0]).isdisjoint(b[0]) for a, b in itertools.pairwise(runs))
+    assert list(ctw.groups(iter([]))) == []
+
+
 def test_texts_teach_about_themselves():
     """Sequential estimates of a part's own contexts, weighted with the tree's; neighbours in a batch change nothing."""
     import math
