@@ -19,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a piece below which merges are applied directly, and distinct pieces that a task remembers.
-LEAF, REMEMBERED = 24, 200_000
+#: Bytes of a piece below which merges are applied directly, and new pieces, of about 250 bytes each, after which a task drops those that did not come again.
+LEAF, REMEMBERED = 24, 50_000
+#: Characters of text whose tokens a task holds as Python numbers at a time.
+HELD = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -83,14 +85,19 @@ class Codec:
 
 
 class Remembered(dict):
-    """Tokens of distinct pieces, encoded once."""
+    """Tokens of distinct pieces, encoded once. Those that came since the last `renew` or the one before stay."""
 
     def __init__(self, codec: Codec):
         super().__init__()
         self.codec = codec
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def renew(self) -> None:
+        self.older = dict(self)
+        self.clear()
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.codec.encode(piece.encode("utf-8", "replace")))
+        ids = self.older.pop(piece, None) or tuple(self.codec.encode(piece.encode("utf-8", "replace")))
         if len(piece) <= 64:
             self[piece] = ids
         return ids
@@ -105,7 +112,7 @@ def encoder(ranks: dict[bytes, int], pattern: str):
 
     def encode(text: str | None) -> list[int]:
         if len(known) > REMEMBERED:
-            known.clear()
+            known.renew()
         return list(chain.from_iterable(map(known.__getitem__, split(text)))) if text else []
 
     return encode, known.codec
@@ -123,9 +130,13 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     def run(batches):
         encode, codec = encoder(ranks.value, pattern)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                rows = batch.slice(start, 1000)
-                ids = [encode(t.as_py()) for t in rows.column(at)]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(x) for x in ids], pa.binary())], [*rows.schema.names, "ids", "decoded"])
+            ids, start, held = [], 0, 0
+            for i, text in enumerate(batch.column(at), 1):
+                ids.append(encode(text := text.as_py()))
+                held += len(text or "")
+                if held >= HELD or i == batch.num_rows:
+                    rows = batch.slice(start, i - start)
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(x) for x in ids], pa.binary())], [*rows.schema.names, "ids", "decoded"])
+                    ids, start, held = [], i, 0
 
     return docs.mapInArrow(run, docs.withColumns({"ids": F.array().cast("array<int>"), "decoded": F.lit(None).cast("binary")}).schema)

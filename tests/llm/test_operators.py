@@ -386,6 +386,23 @@ def test_bpe_join_is_a_monoid():
         assert codec.join(codec.leaf(piece[:cut]), codec.leaf(piece[cut:])) == codec.leaf(piece)
 
 
+def test_bpe_remembers_what_comes_again(monkeypatch):
+    """Pieces that come again outlive the others, tokens stay the same, and what is remembered is bounded."""
+    table, _ = ranks()
+    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    codec, seen = bpe.Codec(table), []
+    known = bpe.Remembered(codec)
+    monkeypatch.setattr(codec, "encode", lambda piece, plain=codec.encode: seen.append(piece) or plain(piece))
+    for piece in ("often", *"abcdefgh"):
+        known["often"], known[piece]
+        known.renew()
+        assert len(known) + len(known.older) <= 4
+    assert seen.count(b"often") == 1 and len(seen) == 9
+    encode, plain = bpe.encoder(table, r"\S+|\s+")[0], bpe.Codec(table)
+    text = " ".join(f"word{i % 13}" for i in range(200))
+    assert encode(text) == [x for p in re.findall(r"\S+|\s+", text) for x in plain.encode(p.encode())]
+
+
 def test_bpe_rows(spark):
     table, pattern = ranks()
     import public_tokenizers
