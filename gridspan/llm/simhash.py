@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, marked
 
 SEED = 42
 PLAIN = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -215,8 +215,11 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     verified on the whole shingle sets, in blocks by 64-bit digests of the shingles; two texts whose fingerprints are linked
     already, or whose numbers of shingles rule the similarity out, need not meet. Of a group the smallest doc_id stays; texts
     without a word are one group. All columns of docs are returned.
+
+    Segments and texts that meet no other are told apart by sieves (`marked`) and not shuffled: of the whole texts only
+    those that share a segment are, and at the end those whose group has several rows.
     """
-    text_id = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    text_id = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
     # a row's id as text, so that joins and what follows them are dealt by one key, nulls too
     id_key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     doc_type = docs.schema["doc_id"].dataType.simpleString()
@@ -228,13 +231,15 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
             prints = [fingerprint(t, print_width) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(segs, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64())], ["doc_id", "h", "segs", "size", "fp"])
 
-    sketches = docs.select("doc_id", text_id.alias("h"), "text").mapInArrow(run, f"doc_id {doc_type}, h string, segs array<long>, size long, fp long")
-    points = keep(sketches.groupBy("h").agg(F.min("doc_id").alias("label"), *(F.first(c).alias(c) for c in ("segs", "size", "fp"))), "points")
+    sketches = docs.select("doc_id", text_id.alias("h"), "text").mapInArrow(run, f"doc_id {doc_type}, h binary, segs array<long>, size long, fp long")
+    points = keep(sketches.groupBy("h").agg(F.min("doc_id").alias("label"), F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("segs", "size", "fp"))), "points")
     # fingerprints first: texts of one of their components are linked to its smallest text id
     prints = keep(fingerprint_groups(points.select("fp", "h"), "h").select("fp", F.col("component_id").alias("near")), "prints")
     points = keep(points.join(prints, "fp").drop("fp"), "points")
     print_edges = points.filter(F.col("near") != F.col("h")).select(F.col("h").alias("a"), F.col("near").alias("b"))
     entries = points.select("h", "size", "near", F.posexplode("segs").alias("slot", "seg"))
+    shared = keep(entries.groupBy("slot", "seg").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "shared")
+    entries = marked(entries, shared, "slot", "seg").filter("marked").drop("marked")
     whole_of = ("h", "size", "near")
     whole = F.struct(*whole_of)
     ends = entries.groupBy("slot", "seg").agg(F.min(whole).alias("low"), F.max(whole).alias("high")).filter("low.h <> high.h")
@@ -251,7 +256,8 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     pairs = keep(against(ends, "low", "high"), "pairs")
     # one row stands for its text: copies, of which a text may have any number, are dealt by their ids and left behind
     own = docs.select(text_id.alias("h"), id_key("doc_id").alias("id"), "text")
-    involved = members.select("h").distinct().join(points.select("h", id_key("label").alias("id")), "h")
+    involved = keep(members.select("h").distinct().join(points.select("h", id_key("label").alias("id")), "h"), "involved")
+    own = marked(own, involved, "h", "id").filter("marked").drop("marked")
     texts = keep(own.join(involved, ["h", "id"], "left_semi").groupBy("h", "id").agg(F.max("text").alias("text")).drop("id"), "texts")
 
     def alike(batches: Iterator[pa.RecordBatch]):
@@ -269,7 +275,7 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
 
     def verified(met: DataFrame) -> DataFrame:
         both = met.join(texts.withColumnRenamed("text", "own"), "h").join(texts.withColumnsRenamed({"h": "head", "text": "of_head"}), "head")
-        return keep(both.select("h", "head", "own", "of_head").mapInArrow(alike, "a string, b string"), "edges")
+        return keep(both.select("h", "head", "own", "of_head").mapInArrow(alike, "a binary, b binary"), "edges")
 
     first_edges = verified(pairs)
     # members that are like neither head of an entry give heads of a second round, with the member that has most links
@@ -303,16 +309,20 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     def compared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         slot, _, low, high = (k.as_py() for k in key)
         got = like_in_blocks(low, high, slot, list(zip(*(table.column(c).to_pylist() for c in ("h", "c", "block", "segs", "text")), strict=True)), width, similarity)
-        return pa.table({"a": pa.array([a for a, _ in got], pa.string()), "b": pa.array([b for _, b in got], pa.string())})
+        return pa.table({"a": pa.array([a for a, _ in got], pa.binary()), "b": pa.array([b for _, b in got], pa.binary())})
 
     filled = dealt.join(points.select("h", "segs"), "h").join(texts, "h")
-    rest = keep(filled.groupBy("slot", "seg", "low", "high").applyInArrow(compared, "a string, b string"), "edges")
+    rest = keep(filled.groupBy("slot", "seg", "low", "high").applyInArrow(compared, "a binary, b binary"), "edges")
     if not rest.isEmpty():
         groups = components(points.select("h", "label"), edges.union(rest), "h")
     # of each component the text that holds its smallest id stays, a null only if there is no other; ties go to the smallest text id
     best = F.min(F.struct(F.col("label").isNull().alias("none"), F.col("label").alias("label"), F.col("h").alias("h"))).alias("best")
-    first = points.select("h", "label").join(groups, "h").groupBy("root").agg(best).select("best.h", F.col("best.label").alias("first_id"))
+    placed = keep(points.select("h", "label", "rows").join(groups.select("h", "root"), "h"), "placed")
+    chosen = keep(placed.groupBy("root").agg(best, F.sum("rows").alias("rows")).select("root", "rows", "best.h", id_key("best.label").alias("id")), "chosen")
+    crowded = placed.join(chosen.filter("rows > 1").select("root"), "root", "left_semi").select("h")
     names = docs.columns
     own = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), text_id.alias("h"), id_key("doc_id").alias("id"))
-    kept = own.join(first.select("h", id_key("first_id").alias("id")), ["h", "id"], "left_semi").dropDuplicates(["h", "id"])
-    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
+    own = marked(own, keep(crowded, "crowded"), "h")
+    # rows that are alone in their group stay where they are
+    kept = own.filter("marked").join(chosen.select("h", "id"), ["h", "id"], "left_semi").dropDuplicates(["h", "id"])
+    return own.filter("not marked").unionByName(kept).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))

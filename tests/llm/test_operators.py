@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gridspan.llm import bpe, ctw, decontaminate, language_id, pii, quality_pu, quality_rules, secrets, simhash, warc
+from gridspan.llm import bpe, common, ctw, decontaminate, language_id, pii, quality_pu, quality_rules, secrets, simhash, warc
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, words string, h string, spans string"
@@ -656,6 +656,30 @@ def test_near_copies_are_linked_by_fingerprints_too(spark):
     assert {r["doc_id"] for r in simhash.distinct_documents(docs).collect()} == linked == {0, 3, 4, 5}
 
 
+@pytest.mark.parametrize("words", [1 << 20, 1])
+def test_lone_texts_are_not_shuffled(spark, monkeypatch, words):
+    """Whole texts are shuffled only where they may have company; where the sieve is full nothing but the work changes."""
+    rng = random.Random(13)
+    monkeypatch.setattr(common, "SIEVE_WORDS", words)
+    lone = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=9)) for _ in range(1000)) for _ in range(300)]
+    near = [t.replace(" ", " new ", 1) for t in lone[:20]]
+    rows = [*enumerate([*lone, *near, *lone[20:40], "", None]), (None, lone[0]), (None, "of no id"), (299, lone[299])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    got = [r["doc_id"] for r in simhash.distinct_documents(docs).collect()]
+    assert sorted(got, key=lambda i: -1 if i is None else i) == [None, *range(300), 340]
+    assert words == 1 or written() - before < 0.5 * sum(map(len, lone))
+
+
+def test_marked(spark):
+    """All rows that keys hold are marked, few others are, and a null is a value like any other."""
+    rows = spark.createDataFrame([(i, None if i % 2 else str(i)) for i in range(2000)], "a int, b string")
+    out = {r["a"]: r["marked"] for r in common.marked(rows, rows.filter("a < 50"), "a", "b").collect()}
+    assert all(out[i] for i in range(50)) and sum(out.values()) < 60 and set(out.values()) == {True, False}
+    assert common.marked(rows, rows.filter("a < 0"), "a").filter("not marked").count() == 2000
+
+
 def test_copies_of_a_hub(spark):
     """Hundreds of copies that are like one text and unlike each other are one group."""
     rng = random.Random(5)
