@@ -4,7 +4,8 @@ A word that the training corpus knows is scored by its log frequency in every la
 its character n-grams, from the longest down: the first length of which any gram is known decides, by the mean of its
 known grams. Word and gram counts are exact over all training rows and summed by Spark; no word and no gram is left out.
 The `max_words` most frequent words go to every task; the others, known or not, meet their counts in a shuffle, where an
-unseen word is scored once for all texts that hold it.
+unseen word is scored once for all texts that hold it. No other table is broadcast: what grows with the corpus is dealt by
+key in every join.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0. Rows with a null language or a null id train
 nothing. With no training row at all every text is `und`. Ties between languages go to the first in sorted order. Rows
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, floor_for, keep
+from .common import crc_mod, floor_for, keep, shuffled
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST_GRAM = 5
@@ -99,9 +100,10 @@ class Backoff:
         out, left = None, keep(unseen.select("word"), "unseen")
         for n in range(LONGEST_GRAM, 0, -1):
             grams = left.filter(F.length(edged) >= n).select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length(edged) - n + 1), lambda i: F.substring(edged, i, F.lit(n)))).alias("gram"))
-            got = keep(grams.join(self.grams, "gram").groupBy("word").agg(*(F.avg(c).alias(c) for c in self.columns)), f"grams{n}")
+            known = self.grams.filter(F.length("gram") == n)
+            got = keep(grams.join(shuffled(known), "gram").groupBy("word").agg(*(F.avg(c).alias(c) for c in self.columns)), f"grams{n}")
             out = got if out is None else out.unionByName(got)
-            left = keep(left.join(got, "word", "left_anti"), "unseen")
+            left = keep(left.join(shuffled(got), "word", "left_anti"), "unseen")
             if left.isEmpty():
                 return out
         return out.unionByName(left.select("word", *(F.lit(0.0).alias(c) for c in self.columns)))
@@ -122,7 +124,7 @@ def fit(labelled: DataFrame, max_words: int = 60_000) -> Backoff:
     words = keep(lexicon.groupBy("word").agg(F.sum("n").alias("n"), *_scores(langs, *stats["words"])), "words")
     table = words.filter(F.col("n") >= floor_for(words, "n", max_words)).drop("n").toArrow()
     frequent = dict(zip(table.column(0).to_pylist(), zip(*(c.to_pylist() for c in table.columns[1:]), strict=True), strict=True))
-    return Backoff(langs, words, grams.groupBy("gram").agg(*_scores(langs, *stats["grams"])), frequent)
+    return Backoff(langs, words, keep(grams.groupBy("gram").agg(*_scores(langs, *stats["grams"])), "scored"), frequent)
 
 
 def predictions(docs: DataFrame, model: Backoff, carry: list[str]) -> DataFrame:
@@ -162,11 +164,11 @@ def predictions(docs: DataFrame, model: Backoff, carry: list[str]) -> DataFrame:
     rows = keep(inner.mapInArrow(run, f"rid long, word string, k long, words long, sums array<double>{fields}"), "rare")
     met = rows.filter(F.col("k").isNotNull())
     known = model.words.drop("n")
-    unseen = met.select("word").distinct().join(known, "word", "left_anti")
-    scored = met.select("rid", "word", "k").join(known.unionByName(model.backed_off(unseen)), "word")
+    unseen = met.select("word").distinct().join(shuffled(known), "word", "left_anti")
+    scored = met.select("rid", "word", "k").join(shuffled(known.unionByName(model.backed_off(unseen))), "word")
     cast = [F.sum(F.col("k") * F.col(c)).alias(c) for c in model.columns]
     rest = scored.groupBy("rid").agg(*cast)
-    mine = rows.filter(F.col("words").isNotNull()).join(rest, "rid", "left")
+    mine = rows.filter(F.col("words").isNotNull()).join(shuffled(rest), "rid", "left")
     total = F.array(*((F.col("sums")[i] + F.coalesce(c, F.lit(0.0))) / F.greatest(F.lit(1.0), F.col("words") / 20) for i, c in enumerate(model.columns)))
     best = F.array_max("total")
     some = F.col("words") > 0
@@ -184,7 +186,7 @@ def predict(docs: DataFrame, model: Backoff) -> DataFrame:
     numbered = keep(docs.select(*(F.col(f"`{c}`").alias(f"d{i}") for i, c in enumerate(names)), F.monotonically_increasing_id().alias("row")), "numbered")
     text = F.col(f"d{names.index('text')}").alias("text")
     found = predictions(numbered.select("row", text), model, ["row"])
-    return numbered.join(found, "row").select(*(F.col(f"d{i}").alias(c) for i, c in enumerate(names)), "lang_pred", "score")
+    return numbered.join(shuffled(found), "row").select(*(F.col(f"d{i}").alias(c) for i, c in enumerate(names)), "lang_pred", "score")
 
 
 def language_of(docs: DataFrame, fold: int = 5) -> DataFrame:

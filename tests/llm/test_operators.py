@@ -113,6 +113,16 @@ def test_language(spark):
     assert len(untaught) == len(rows) and {r["lang_pred"] for r in untaught} == {"und"}
 
 
+def test_language_joins_broadcast_nothing(spark, monkeypatch):
+    """Words and grams grow with the corpus and compress well: whatever the size of their files, they are dealt by key."""
+    plans, written = [], language_id.keep
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(language_id, "keep", lambda df, name: written(seen(df), name))
+    docs = documents(spark, [EN, FR, EN, "houses gardens maisonette 123", "qqqq ぎぎ", None] * 5)
+    assert seen(language_id.predict(docs, language_id.fit(docs.filter(F.col("doc_id") < 12), 3))).count() == seen(language_id.language_of(docs)).count() == 32
+    assert sum("SortMergeJoin" in p for p in plans) > 6 and not any("Broadcast" in p for p in plans)
+
+
 def test_tree_against_sequential_weighting():
     """The folded probabilities equal those of the recursion worked out node by node."""
     rng = random.Random(1)
