@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, marked
+from .common import keep, marked, shuffled
 
 SEED = 42
 PLAIN = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -68,7 +68,7 @@ def links(points: DataFrame) -> DataFrame:
     ball = F.transform(F.sequence(F.lit(0), F.lit(32)), lambda i: F.struct(F.lit(0).alias("seg"), F.when(i == 32, high).otherwise(high.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).alias("v")))
     probes = points.select("fp", F.explode(F.concat(ball, F.array(F.struct(F.lit(1).alias("seg"), low.alias("v"))))).alias("t")).select(F.col("fp").alias("a"), "t.seg", "t.v")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    return probes.join(table, ["seg", "v"]).filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    return probes.join(shuffled(table), ["seg", "v"]).filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
 def components(points: DataFrame, edges: DataFrame, vertex: str, most_rounds: int = 60) -> DataFrame:
@@ -253,12 +253,12 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
         return members.select("slot", "seg", "h", "size", "near").join(each, ["slot", "seg"]).filter(may).select("h", F.col("to.h").alias("head")).distinct()
 
     ends = members.select("slot", "seg", "low", "high").dropDuplicates(["slot", "seg"])
-    pairs = keep(against(ends, "low", "high"), "pairs")
+    pairs = keep(against(shuffled(ends), "low", "high"), "pairs")
     # one row stands for its text: copies, of which a text may have any number, are dealt by their ids and left behind
     own = docs.select(text_id.alias("h"), id_key("doc_id").alias("id"), "text")
     involved = keep(members.select("h").distinct().join(points.select("h", id_key("label").alias("id")), "h"), "involved")
     own = marked(own, involved, "h", "id").filter("marked").drop("marked")
-    texts = keep(own.join(involved, ["h", "id"], "left_semi").groupBy("h", "id").agg(F.max("text").alias("text")).drop("id"), "texts")
+    texts = keep(own.join(shuffled(involved), ["h", "id"], "left_semi").groupBy("h", "id").agg(F.max("text").alias("text")).drop("id"), "texts")
 
     def alike(batches: Iterator[pa.RecordBatch]):
         last, shape = None, set()
@@ -282,7 +282,7 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     either = keep(first_edges.union(first_edges.select("b", "a")).distinct(), "either")
     low, high = (either.select(F.col("a").alias("h"), F.col("b").alias(n), F.lit(True).alias(f"like_{n}")) for n in ("first_h", "last_h"))
     unlike = members.filter((F.col("near") != F.col("low.near")) & (F.col("near") != F.col("high.near"))).select("*", F.col("low.h").alias("first_h"), F.col("high.h").alias("last_h"))
-    unlike = unlike.join(low, ["h", "first_h"], "left").join(high, ["h", "last_h"], "left").filter("like_first_h is null and like_last_h is null")
+    unlike = unlike.join(shuffled(low), ["h", "first_h"], "left").join(shuffled(high), ["h", "last_h"], "left").filter("like_first_h is null and like_last_h is null")
     again = keep(unlike.groupBy("slot", "seg").agg(F.min(whole).alias("low"), F.max(whole).alias("high")), "again")
     linked = either.groupBy(F.col("a").alias("h")).agg(F.count("*").alias("links"))
     hubs = members.select("slot", "seg", "h", "size", "near").join(again.select("slot", "seg"), ["slot", "seg"], "left_semi").join(linked, "h").groupBy("slot", "seg").agg(F.max(F.struct("links", *whole_of)).alias("hub"))
